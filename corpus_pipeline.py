@@ -1,8 +1,72 @@
-"""The corpus pipeline: a chain of stages over `documents`, each written as Parquet and read again."""
+"""The corpus pipeline: a chain of stages over `documents`, each written as Parquet and read again.
 
-STAGES = []
+Languages are identified and texts without a known one go; of near duplicates one stays; secrets are taken
+out of the texts; the sources are mixed to their weights, with copies; what remains is encoded.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from foliant.llm import bpe, langid, minhash, mixing, secret_scan
+from foliant.llm.common import shared_dir
+
+LEAST_SCORE = 0.35  # of a language; even odds among four would be 0.25
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is known. The network learns from the labelled rows of docs."""
+    return langid.keep_identified(docs, langid.train(docs), LEAST_SCORE)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group that links at 0.8 on shingles of five words.
+
+    30 bands of four values: a pair at 0.8 shares none with a probability under 10 ** -6.
+    """
+    return minhash.keep_one(docs, width=5, percent=80, hashes=60)
+
+
+def take_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts, whose lengths follow; no document goes."""
+    return secret_scan.redact_documents(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources have the words of their targets."""
+    # rows of one id are told apart by their order; the hash of id and order is the row's own key
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source")
+    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.row_number().over(order)))
+    times = mixing.mix(keyed, id_col="_row").where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
+    return keyed.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of each document."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("secrets", take_out_secrets),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+
+#: SQL expresses neither the network nor the merges; tests hold each stage against a plainer form of it.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over the documents of a folder."""
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return docs

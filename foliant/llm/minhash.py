@@ -238,10 +238,10 @@ def _grouped(rows: DataFrame, inner: bool, percent: int) -> DataFrame:
     return rows.withColumn("inner", F.lit(inner)).groupBy(*keys).applyInArrow(_compare(percent), "a binary, b binary")
 
 
-def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id") -> DataFrame:
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 60, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, with all their columns, less those that are near a document with a smaller id.
 
     Rows that share an id stay or go together; rows without an id stay.
     """
-    gone = near_duplicates(docs, width, percent, id_col=id_col).where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    gone = near_duplicates(docs, width, percent, hashes, id_col=id_col).where("NOT kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")

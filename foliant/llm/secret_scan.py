@@ -17,6 +17,7 @@ from math import log2
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import pieces
 
@@ -121,3 +122,24 @@ def scan_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"] + ["clean_text"] * with_clean)
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, ddl)
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
+    """The rows of docs, with all their columns, their secrets replaced, and their lengths too if they have any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, texts in pieces(batch, text_col):
+                part = batch.slice(first, len(texts))
+                some = pc.fill_null(pc.match_substring_regex(part.column(text_col), ANY), False).to_pylist()
+                for i, hit in enumerate(some):
+                    if hit:
+                        base, more = scan(texts[i])
+                        texts[i] = redact(texts[i], base + more)
+                at = part.schema.get_field_index(text_col)
+                yield part.set_column(at, part.schema.field(at), pa.array(texts, part.schema.field(at).type))
+
+    out = docs.mapInArrow(run, docs.schema)
+    if length_col in docs.columns:
+        out = out.withColumn(length_col, F.length(text_col).cast(docs.schema[length_col].dataType))
+    return out
