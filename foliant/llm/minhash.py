@@ -25,9 +25,8 @@ from .common import cut, pieces
 from .graph import components
 
 HASHES, ROWS = 40, 4  # 20 bands: a pair at 0.85 shares none with probability (1 - 0.85 ** 4) ** 20, under 10 ** -6
-SLICE = 1024
+SLICE = 512
 _SEED = 20_240_607
-_BIG = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -56,7 +55,7 @@ class Shingler:
             hashes.append(h)
         h = np.array(hashes, np.uint64)
         width = min(self.width, len(h))
-        out = np.full(len(h) - width + 1, np.uint64(width) * _MIX)
+        out = np.full(len(h) - width + 1, np.uint64(width * int(_MIX) & 0xFFFFFFFFFFFFFFFF))
         for k in range(width):
             out = (out ^ h[k : len(h) - width + 1 + k]) * np.uint64(0xBF58476D1CE4E5B9)
             out ^= out >> np.uint64(29)
@@ -91,46 +90,50 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return key
 
 
-def links_within(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i of left, j of right) with 100 * |A and B| >= percent * |A or B|.
+def links_within(sets: list[np.ndarray], left: np.ndarray, percent: int) -> np.ndarray:
+    """A boolean matrix, left x sets: 100 * |A and B| >= percent * |A or B|.
 
-    Shingles in one set only can't be shared; the rest are columns, taken a few thousand at a time.
+    Shingles in one set only can't be shared; the rest are columns, taken a thousand at a time.
     """
-    sizes = np.array([len(s) for s in sets], np.int64)
+    sizes = np.array([len(s) for s in sets], np.int32)
     _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), sizes)
     shared = count[column] > 1
-    row, column = row[shared], column[shared]
+    row, column = row[shared], (np.cumsum(count > 1) - 1)[column[shared]]
     order = np.argsort(column, kind="stable")
-    row, column = row[order], np.unique(column[order], return_inverse=True)[1]
-    wide = 2048
-    cuts = np.searchsorted(column, np.arange(0, (int(column[-1]) if len(column) else 0) + 1 + wide, wide))
-    common = np.zeros((len(left), len(right)), np.float32)
+    row, column = row[order], column[order]
+    columns = int(column[-1]) + 1 if len(column) else 0
+    wide = min(1024, max(columns, 1))
+    cuts = np.searchsorted(column, np.arange(0, columns + wide, wide))
+    common = np.zeros((len(left), len(sets)), np.float32)
     for c, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-        grid = np.zeros((len(sets), wide if len(cuts) > 2 else max(int(column[-1]) + 1 if len(column) else 1, 1)), np.float32)
+        grid = np.zeros((len(sets), wide), np.float32)
         grid[row[a:b], column[a:b] - c * wide] = 1
-        common += grid[left] @ grid[right].T
-    inter = np.rint(common).astype(np.int64)
-    i, j = np.nonzero(100 * inter >= percent * (sizes[left][:, None] + sizes[right] - inter))
-    return left[i], right[j]
-
-
-def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Edges that connect what the links between left and right connect, one less than nodes at most."""
-    root = list(range(len(sets)))
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    out = []
-    for i, j in zip(*(x.tolist() for x in links_within(sets, left, right, percent)), strict=True):
-        x, y = find(i), find(j)
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            out.append((i, j))
+        common += grid[left] @ grid.T
+    inter = np.rint(common).astype(np.int32)
+    return 100 * inter.astype(np.int64) >= percent * (sizes[left][:, None] + sizes - inter).astype(np.int64)
+
+
+def forest(sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Edges that connect what the links of `left` with all sets connect, one less than nodes at most."""
+    linked = links_within(sets, left, percent)
+    place = np.full(len(sets), -1)
+    place[left] = np.arange(len(left))
+    fresh, out = np.ones(len(sets), bool), []
+    for start in left.tolist():
+        if not fresh[start]:
+            continue
+        fresh[start], reached = False, [start]
+        while reached:
+            x = reached.pop()
+            near = np.zeros(len(sets), bool)
+            near[left] = linked[:, x]
+            if place[x] >= 0:
+                near |= linked[place[x]]
+            found = np.flatnonzero(near & fresh)
+            fresh[found] = False
+            reached += found.tolist()
+            out += [(x, y) for y in found.tolist()]
     return out
 
 
@@ -140,7 +143,7 @@ def _compare(percent: int):
         names, roles = group.column("node").to_pylist(), np.array(group.column("role").to_pylist())
         sets = [np.frombuffer(s, np.uint64) for s in group.column("shingles").to_pylist()]
         every, guests = np.arange(len(sets)), np.flatnonzero(roles == 1)
-        edges = forest(sets, every if group.column("inner")[0].as_py() else guests, every, percent)
+        edges = forest(sets, every if group.column("inner")[0].as_py() else guests, percent)
         return pa.table({"a": pa.array([names[i] for i, _ in edges], pa.binary()), "b": pa.array([names[j] for _, j in edges], pa.binary())})
 
     return run
