@@ -89,6 +89,17 @@ def luminance(r="r", g="g", b="b"):
     return F.expr(f"(299 * {r} + 587 * {g} + 114 * {b} + 500) div 1000").cast("int")
 
 
+def grayscale(pixels: DataFrame) -> DataFrame:
+    """All channels at the pixel's luma, with the weights of video."""
+    v = clamp(0.299 * F.col("r") + 0.587 * F.col("g") + 0.114 * F.col("b"))
+    return pixels.select("img_id", "y", "x", *[v.alias(c) for c in "rgb"])
+
+
+def for_jpg(pixels: DataFrame, in_color: bool) -> DataFrame:
+    """Pages as they go into JPGs: thresholded, after their own filter, unless they are to keep their colours."""
+    return pixels if in_color else apply_filter(pixels, "bw")
+
+
 def apply_filter(pixels: DataFrame, filter_id: str, brightness: float = 0.0, contrast_by: float = 1.0) -> DataFrame:
     """Pixels (img_id, y, x, r, g, b) under a filter. `bw` adjusts in gray and then thresholds; `sharpen` sharpens and
     then adjusts. The cleanup presets ignore adjustments and work on whole images, in operators.cleanup."""

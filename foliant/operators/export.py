@@ -15,7 +15,7 @@ FIT = "FIT_TO_IMAGE"
 FIT_POINTS = 842.0
 DPI = {"HIGH": 300, "STANDARD": 200, "SMALL": 150, "VERY_SMALL": 110}
 MARGIN = 0.95
-PREFIX = "DocuScan_"  # fixed value: the beginning of output names
+PREFIX = "scan_"
 FORMATS = ("both", "pdf", "jpg")
 
 
@@ -57,17 +57,17 @@ def page_layout(rows: DataFrame) -> DataFrame:
     return out.drop("_pw", "_ph", "_s", "_dw", "_dh")
 
 
-def names(pages: DataFrame, millis: str = "ts") -> DataFrame:
+def names(pages: DataFrame, millis: str = "ts", prefix: str = PREFIX) -> DataFrame:
     """base and name of each page's JPG: numbered only where a document has more than one page."""
     doc = Window.partitionBy("doc_id")
-    base = F.concat(F.lit(PREFIX), scalar.stamp(F.col(millis)))
+    base = F.concat(F.lit(prefix), scalar.stamp(F.col(millis)))
     numbered = F.concat(base, F.lit("_p"), F.row_number().over(doc.orderBy("pos")), F.lit(".jpg"))
     return pages.withColumn("base", base).withColumn("name", F.when(F.count("*").over(doc) == 1, F.concat(base, F.lit(".jpg"))).otherwise(numbered))
 
 
-def manifest(pages: DataFrame, fmt: str = "format", millis: str = "ts") -> DataFrame:
+def manifest(pages: DataFrame, fmt: str = "format", millis: str = "ts", prefix: str = PREFIX) -> DataFrame:
     """doc_id, seq, name, kind: the files of each document's export, by its own format; the PDF is first."""
-    named = names(pages, millis)
+    named = names(pages, millis, prefix)
     pdf = named.where(F.col(fmt).isin("both", "pdf")).groupBy("doc_id").agg(F.concat(F.min("base"), F.lit(".pdf")).alias("name")).select("doc_id", F.lit(0).alias("seq"), "name", F.lit("pdf").alias("kind"))
     jpg = named.where(F.col(fmt).isin("both", "jpg")).select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")).cast("int").alias("seq"), "name", F.lit("jpg").alias("kind"))
     return pdf.unionByName(jpg)

@@ -45,6 +45,17 @@ def update(pages: DataFrame, at: int, **values) -> DataFrame:
     return pages.withColumns({c: F.when(F.col("pos") == at, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def rotate(pages: DataFrame, at: int) -> DataFrame:
+    """The page at a position turned by 90 degrees: its sides w and h change places; its pixels turn with resample.rotate."""
+    here = F.col("pos") == at
+    return pages.withColumns({"w": F.when(here, F.col("h")).otherwise(F.col("w")), "h": F.when(here, F.col("w")).otherwise(F.col("h"))})
+
+
+def select(pages: DataFrame, at: int) -> DataFrame:
+    """doc_id, selected: the position chosen in each document that has it; others keep their first."""
+    return pages.groupBy("doc_id").agg(F.when(F.max("pos") >= at, at).otherwise(0).cast("int").alias("selected"))
+
+
 def reset(pages: DataFrame, at: int) -> DataFrame:
     return update(pages, at, brightness=0.0, contrast=1.0)
 

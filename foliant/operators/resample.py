@@ -72,6 +72,14 @@ def pdf_render_size(rows: DataFrame, w="w", h="h", longest: int = 2200) -> DataF
     return rows.withColumns({"render_w": F.greatest(F.lit(1), (F.col(w) * scale).cast("int")), "render_h": F.greatest(F.lit(1), (F.col(h) * scale).cast("int"))})
 
 
+def min_text_size(rows: DataFrame, longest: int = 1800, most: float = 2.0, w="w", h="h") -> DataFrame:
+    """text_w, text_h: enlarged to a longer side of `longest`, by `most` times at most; large images stay."""
+    side = F.greatest(w, h)
+    scale = F.least(F.lit(most), F.lit(float(longest)) / side)
+    to = lambda c: F.when(side >= longest, F.col(c)).otherwise(F.greatest(F.lit(1), (F.col(c) * scale).cast("int")))
+    return rows.withColumns({"text_w": to(w), "text_h": to(h)})
+
+
 def homography(src: list[tuple[float, float]], dst: list[tuple[float, float]]) -> list[float] | None:
     """Nine numbers that take four points to four others, or None if none do."""
     import numpy as np

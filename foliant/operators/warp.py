@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import parse_ratio, round_half_up
-from .geometry import x, y
+from .geometry import large_enough, x, y
 
 # Short over long side of the paper presets.
 PRESETS = {"A3": 1 / math.sqrt(2.0), "A4": 1 / math.sqrt(2.0), "A5": 1 / math.sqrt(2.0), "US_LETTER": 8.5 / 11.0, "LEGAL": 8.5 / 14.0}
@@ -114,3 +114,8 @@ def size_by_choice(quads: DataFrame, choice: str = "choice", custom: str = "cust
     (pw, ph), (hw, hh) = _projective(), _heuristic()
     pick = lambda auto, original, fixed: F.when(F.col(choice) == "AUTO", auto).when(F.col(choice) == "ORIGINAL", original).otherwise(fixed)
     return _sized(_measures(projective_ratio(quads)), pick(pw, hw, fw), pick(ph, hh, fh)).drop("ratio")
+
+
+def apply_crop(quads: DataFrame, choice: str = "choice", custom: str = "custom") -> DataFrame:
+    """Crops that are made: quads (in pixels) that cover enough of their image, with their output sizes."""
+    return size_by_choice(quads.where(large_enough("src_w", "src_h")), choice, custom)

@@ -129,6 +129,16 @@ def filter_adjusted(spark, d):
     return color.apply_filter(fx.rgb_pixels(spark, d), "magic", 0.4, 1.25)
 
 
+@query
+def grayscale_copy(spark, d):
+    return color.grayscale(fx.rgb_pixels(spark, d))
+
+
+@query
+def export_bw(spark, d):
+    return color.for_jpg(color.apply_filter(fx.rgb_pixels(spark, d), "sepia"), in_color=False)
+
+
 # whole images, in numpy: no SQL
 
 
@@ -282,6 +292,17 @@ def page_selection(spark, d):
     return pages.selection_after_removal(fx.pages(spark, d), 4)
 
 
+@query
+def page_rotate(spark, d):
+    sized = fx.pages(spark, d).withColumns({"w": (F.col("doc_id") % 7 + 1).cast("int"), "h": (F.col("pos") + 20).cast("int")})
+    return pages.rotate(sized, 1).select("doc_id", "pos", "w", "h")
+
+
+@query
+def page_select(spark, d):
+    return pages.select(fx.pages(spark, d), 3)
+
+
 @query
 def page_clear(spark, d):
     return pages.clear(fx.pages(spark, d)).select("doc_id", "pos")
@@ -314,6 +335,11 @@ def pdf_render_size(spark, d):
     return _sized(resample.pdf_render_size(fx.rasters(spark, d)), "render_w", "render_h")
 
 
+@query
+def min_text_size(spark, d):
+    return _sized(resample.min_text_size(fx.rasters(spark, d)), "text_w", "text_h")
+
+
 @query
 def letterbox(spark, d):
     return _sized(resample.letterbox(fx.rasters(spark, d), 1080, 1920), "left", "top", "right", "bottom")
@@ -403,12 +429,20 @@ def warp_fixed(spark, d):
     return warp.fixed_size(fx.quads(spark, d), 0.7071).select("quad_id", "out_w", "out_h")
 
 
-@query
-def warp_mode(spark, d):
+def _choices(spark, d) -> DataFrame:
     choice = F.element_at(F.array(*[F.lit(c) for c in ("AUTO", "ORIGINAL", "CUSTOM", "A4", "US_LETTER", "LEGAL", "NONE")]), (F.col("quad_id") % 7 + 1).cast("int"))
     custom = F.when(F.col("quad_id") % 2 == 0, "0,5").otherwise("x")
-    q = fx.quads(spark, d).withColumns({"choice": choice, "custom": custom})
-    return warp.size_by_choice(q).select("quad_id", "choice", "out_w", "out_h")
+    return fx.quads(spark, d).withColumns({"choice": choice, "custom": custom})
+
+
+@query
+def warp_mode(spark, d):
+    return warp.size_by_choice(_choices(spark, d)).select("quad_id", "choice", "out_w", "out_h")
+
+
+@query
+def apply_crop(spark, d):
+    return warp.apply_crop(_choices(spark, d).where("choice <> 'CUSTOM'")).select("quad_id", "choice", "out_w", "out_h")
 
 
 # detection

@@ -280,7 +280,7 @@ SELECT quad_id // 8 AS img_id, quad_id % 8 AS ord, score, {COLS} FROM ok QUALIFY
 DAY = "strftime(make_timestamp(timestamp * 1000), '%b %-d, %Y')"
 EXPORTS = f"""{PAGES}, ex AS (
   SELECT doc_id, pos, CASE doc_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'pdf' ELSE 'jpg' END AS format, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n,
-         count(*) OVER (PARTITION BY doc_id) AS pages, 'DocuScan_' || strftime(make_timestamp((1704067200000 + doc_id * 1000) * 1000), '%Y%m%d_%H%M%S') AS base FROM pages),
+         count(*) OVER (PARTITION BY doc_id) AS pages, 'scan_' || strftime(make_timestamp((1704067200000 + doc_id * 1000) * 1000), '%Y%m%d_%H%M%S') AS base FROM pages),
   named AS (SELECT *, CASE WHEN pages = 1 THEN base || '.jpg' ELSE base || '_p' || n || '.jpg' END AS name FROM ex),
   files AS (SELECT DISTINCT doc_id, 0 AS seq, base || '.pdf' AS name, 'pdf' AS kind FROM named WHERE format <> 'jpg'
     UNION ALL SELECT doc_id, n::INTEGER, name, 'jpg' FROM named WHERE format <> 'pdf')"""
@@ -407,4 +407,12 @@ def sql() -> dict[str, str]:
         "scalar_functions": f"""WITH {REGISTRY} SELECT id, title AS base_name, '1,' || id AS kept, ('1.' || id)::DOUBLE AS ratio, true AS blank, strftime(make_timestamp(timestamp * 1000), '%Y%m%d_%H%M%S') AS stamp,
           (((id * -7.5::DOUBLE) % 180) + 180) % 180 AS angle, least(greatest(id, 5), 90) AS clamped, (1 - id)::INTEGER AS rounded, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE id % 2 = 0 END AS dark FROM reg""",
     }
+    out["grayscale_copy"] = f"WITH {RGB}, g AS (SELECT *, least(255, greatest(0, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)))::INTEGER AS v FROM rgb) SELECT img_id, y, x, v AS r, v AS g, v AS b FROM g"
+    out["export_bw"] = f"""WITH {RGB}, c AS ({_colours(RECIPES["sepia"])}), d AS ({_colours(RECIPES["gray"], "c")}), l AS (SELECT img_id, y, x, {LUMA} AS lum FROM d), {_otsu("l")},
+          o AS (SELECT img_id, y, x, CASE WHEN lum <= threshold THEN 0 ELSE 255 END AS v FROM l JOIN otsu USING (img_id)) SELECT img_id, y, x, v AS r, v AS g, v AS b FROM o"""
+    out["page_rotate"] = f"WITH {PAGES}, s AS (SELECT doc_id, pos, (doc_id % 7 + 1)::INTEGER AS w, (pos + 20)::INTEGER AS h FROM pages) SELECT doc_id, pos, CASE WHEN pos = 1 THEN h ELSE w END AS w, CASE WHEN pos = 1 THEN w ELSE h END AS h FROM s"
+    out["page_select"] = f"WITH {PAGES} SELECT doc_id, CASE WHEN max(pos) >= 3 THEN 3 ELSE 0 END::INTEGER AS selected FROM pages GROUP BY ALL"
+    out["min_text_size"] = f"""WITH {RASTER}, s AS (SELECT *, least(2.0::DOUBLE, 1800.0::DOUBLE / greatest(w, h)) AS s FROM raster)
+          SELECT {KEYS}, CASE WHEN greatest(w, h) >= 1800 THEN w ELSE greatest(1, trunc(w * s)) END::INTEGER AS text_w, CASE WHEN greatest(w, h) >= 1800 THEN h ELSE greatest(1, trunc(h * s)) END::INTEGER AS text_h FROM s"""
+    out["apply_crop"] = out["warp_mode"] + f" WHERE choice <> 'CUSTOM' AND abs(0.5::DOUBLE * {_area2()}) / (src_w * src_h) >= 0.02"
     return out | {f"filter_{k}": f"WITH {RGB} {_colours(v)}" for k, v in RECIPES.items()}

@@ -30,6 +30,59 @@ def read_images(spark: SparkSession, path: str) -> DataFrame:
     return rows.mapInArrow(run, "uri string, w int, h int, body binary")
 
 
+def exif_degrees(content: bytes) -> int:
+    """The turn that a JPEG's orientation tag asks for: 90, 180 or 270, else 0."""
+    at = 2
+    while content[:2] == b"\xff\xd8" and at + 4 <= len(content) and content[at] == 0xFF:
+        size = int.from_bytes(content[at + 2 : at + 4], "big")
+        body = content[at + 4 : at + 2 + size]
+        if content[at + 1] == 0xE1 and body[:6] == b"Exif\0\0" and body[6:8] in (b"II", b"MM"):
+            tiff, order = body[6:], "little" if body[6:8] == b"II" else "big"
+            first = int.from_bytes(tiff[4:8], order)
+            for k in range(int.from_bytes(tiff[first : first + 2], order)):
+                tag = tiff[first + 2 + 12 * k : first + 14 + 12 * k]
+                if int.from_bytes(tag[:2], order) == 0x0112:
+                    return {3: 180, 6: 90, 8: 270}.get(int.from_bytes(tag[8:10], order), 0)
+        at += 2 + size
+    return 0
+
+
+def read_upright(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
+    """uri, w, h, body of image files, turned as their tags ask and at most `most` on the longer side."""
+
+    def tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("uri"), pa.array([exif_degrees(c) for c in batch.column("content").to_pylist()], pa.int32())], ["uri", "degrees"])
+
+    turns = spark.read.format("binaryFile").load(path).select(F.col("path").alias("uri"), "content").mapInArrow(tags, "uri string, degrees int")
+    # the two sources write a path alike but for the number of slashes after the scheme
+    key = F.regexp_replace("uri", "^([a-z]+):/+", "$1:/")
+    rows = read_images(spark, path).withColumn("_k", key).join(turns.select(key.alias("_k"), "degrees"), "_k").drop("_k")
+    return turned(rows, most)
+
+
+def turned(rows: DataFrame, most: int) -> DataFrame:
+    """Images turned clockwise by their `degrees` and fitted to a longest side."""
+    from ..operators.cleanup import resize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                a = np.rot90(np.frombuffer(r["body"], np.uint8).reshape(r["h"], r["w"], 3), -r["degrees"] // 90)
+                h, w = a.shape[:2]
+                if max(w, h) > most:
+                    w, h = max(1, int(np.float32(w) * (np.float32(most) / np.float32(max(a.shape[:2]))))), max(1, int(np.float32(h) * (np.float32(most) / np.float32(max(a.shape[:2])))))
+                    a = np.stack([resize(a[..., c], w, h) for c in range(3)], -1)
+                yield pa.RecordBatch.from_pylist([{"uri": r["uri"], "w": w, "h": h, "body": a.tobytes()}], schema)
+
+    schema = pa.schema([("uri", pa.string()), ("w", pa.int32()), ("h", pa.int32()), ("body", pa.binary())])
+    return rows.select("uri", "w", "h", "body", "degrees").mapInArrow(run, "uri string, w int, h int, body binary")
+
+
+def thumbnails(images: DataFrame, most: int = 512) -> DataFrame:
+    return turned(images.withColumn("degrees", F.lit(0)), most)
+
+
 def to_pixels(images: DataFrame) -> DataFrame:
     """img_id, y, x, r, g, b in long form."""
     at = F.posexplode(F.sequence(F.lit(0), F.col("w") * F.col("h") - 1))

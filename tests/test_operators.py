@@ -80,7 +80,7 @@ def test_pixel_budgets(spark):
 
 def test_names_and_labels(spark):
     df = spark.createDataFrame([(1, 0, 0), (2, 0, 0), (2, 1, 0)], "doc_id long, pos int, ts long")
-    assert sorted(r.name for r in export.names(df).collect()) == ["DocuScan_19700101_000000.jpg", "DocuScan_19700101_000000_p1.jpg", "DocuScan_19700101_000000_p2.jpg"]
+    assert sorted(r.name for r in export.names(df).collect()) == ["scan_19700101_000000.jpg", "scan_19700101_000000_p1.jpg", "scan_19700101_000000_p2.jpg"]
     n = spark.createDataFrame([(0,), (1,), (2,)], "n int").select(scalar.plural(F.col("n"), "page").alias("t"))
     assert [r.t for r in n.collect()] == ["0 page", "1 page", "2 pages"]
 
@@ -217,3 +217,19 @@ def test_sample_and_fit(spark):
     df = spark.createDataFrame([(4000, 3000), (600, 20), (0, 5)], "w int, h int")
     assert [r["sample"] for r in resample.sample_factor(df, 2000).collect()] == [2, 1, None]
     assert [(r.fit_w, r.fit_h) for r in resample.fit_max(df.where("w > 0"), 2400).collect()] == [(2400, 1800), (600, 20)]
+
+
+def test_orientation_and_thumbnails(spark, tmp_path):
+    tag = (0x0112).to_bytes(2, "big") + (3).to_bytes(2, "big") + (1).to_bytes(4, "big") + (6).to_bytes(2, "big") + b"\0\0"
+    exif = b"Exif\0\0MM\0*" + (8).to_bytes(4, "big") + (1).to_bytes(2, "big") + tag
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xe1" + (len(exif) + 2).to_bytes(2, "big") + exif + b"\xff\xda"
+    assert images.exif_degrees(jpeg) == 90 and images.exif_degrees(b"\x89PNG") == 0 and images.exif_degrees(b"") == 0
+    a = np.arange(4 * 6 * 3, dtype=np.uint8).reshape(4, 6, 3)
+    (tmp_path / "p.png").write_bytes(images.png(6, 4, a.tobytes()))
+    up = images.read_upright(spark, str(tmp_path)).first()
+    assert (up.w, up.h, bytes(up.body)) == (6, 4, a.tobytes())
+    df = spark.createDataFrame([("u", 6, 4, bytearray(a.tobytes()), 90)], "uri string, w int, h int, body binary, degrees int")
+    r = images.turned(df, 100).first()
+    assert (r.w, r.h) == (4, 6) and np.array_equal(np.frombuffer(bytes(r.body), np.uint8).reshape(6, 4, 3), np.rot90(a, -1))
+    t = images.thumbnails(df.drop("degrees"), 3).first()
+    assert (t.w, t.h) == (3, 2)
