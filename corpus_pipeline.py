@@ -38,11 +38,12 @@ def take_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources have the words of their targets."""
-    # rows of one id are told apart by their order; the hash of id and order is the row's own key
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", F.row_number().over(order)))
-    times = mixing.mix(keyed, id_col="_row").where("copies > 0").select(F.col("doc_id").alias("_row"), "copies")
-    return keyed.join(times, "_row").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    # a row's own key is a hash of all its columns; rows alike share it, and are mixed as one with all their copies.
+    # Only the join moves texts, and it leaves rows of one key together for the window
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+    times = mixing.mix(keyed, id_col="_row").groupBy(F.col("doc_id").alias("_row")).agg(F.sum("copies").alias("_copies")).where("_copies > 0")
+    one = keyed.join(times, "_row").withColumn("_first", F.row_number().over(Window.partitionBy("_row").orderBy("_copies"))).where("_first = 1")
+    return one.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
