@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
+EDGES = 250_000  # of a partition: a shuffle of fewer writes more files than rows are worth
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root of each node of the edges (a, b): root is the smallest node that it is connected with.
@@ -17,16 +19,21 @@ def components(edges: DataFrame) -> DataFrame:
     of one side, and Spark splits the other.
     """
     edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
+    parts = -(-edges.count() // EDGES) or 1
+
+    def few(df: DataFrame) -> DataFrame:
+        return df.coalesce(parts)
+
+    edges, before = few(edges), None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = cut(small.where("u <> v").distinct())
+        both = few(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        least = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        large = few(large.where("u <> v").distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        joined = few(large.join(least, "u"))
+        small = few(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))))
+        edges = cut(few(small.where("u <> v").distinct()))
         # an unchanged edge set is the end: then each node hangs on its root
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
