@@ -98,16 +98,16 @@ def mix(docs: DataFrame, seed: int = 11, weights=WEIGHTS, id_col: str = "doc_id"
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    rows = cut(rows)  # the texts are read once
-    rows = rows.join(targets(rows, weights), "_s")
+    rows = cut(rows.withColumn("_class", F.floor(4 * F.log2(F.col("size") + 1)).cast("int")))  # the texts are read once
+    # a quarter of a doubling of the size is a class; classes of many rows are dealt out by the hash. What a row
+    # needs to know of its source comes by way of its class, so that rows never meet by source alone
+    classes = rows.groupBy("_s", "_class").agg(F.ceil(F.count("*") / LEAF).alias("_leaves")).join(targets(rows, weights), "_s")
+    rows = rows.join(classes, ["_s", "_class"])
     copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST))).otherwise(F.lit(0.0))
     rows = rows.withColumn("_copies", copies).withColumn("_whole", F.floor("_copies"))
     rows = rows.withColumn("_open", F.col("_copies") - F.col("_whole")).withColumn("_extra", F.lit(0).cast("long"))
     rows = rows.withColumn("_u", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    # a quarter of a doubling of the size is a class; classes of many rows are dealt out by the hash
-    rows = rows.withColumn("_class", F.floor(4 * F.log2(F.col("size") + 1)).cast("int"))
-    sizes = rows.groupBy("_s", "_class").agg(F.ceil(F.count("*") / LEAF).alias("_leaves"))
-    rows = rows.join(sizes, ["_s", "_class"]).withColumn("_leaf", F.pmod("_u", "_leaves"))
+    rows = rows.withColumn("_leaf", F.pmod("_u", "_leaves"))
     columns = ["doc_id", "_s", "_class", "_leaf", "_u", "size", "source_size", "target", "_whole", "_open", "_extra"]
     rows = rows.select(*columns).withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
 
