@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 CELLS = 4096  # cells of each order; a hot source of 10^10 rows has 2.4 million rows in one
 
 
@@ -38,7 +40,7 @@ def interleaved_shards(
     )
     key = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), "UTF-8"))
     rows = rows.withColumn("_u", key).withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
-    rows = rows.withColumn("_cell", F.conv(F.substring("_u", 1, 3), 16, 10).cast("int"))
+    rows = cut(rows.withColumn("_cell", F.conv(F.substring("_u", 1, 3), 16, 10).cast("int")))  # the texts are read once
 
     upto = Window.partitionBy("_s").orderBy("_cell")
     cells = (
