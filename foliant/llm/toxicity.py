@@ -1,23 +1,29 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine, found with a block-max inverted index.
 
-Terms are words and the five-letter beginnings of longer ones. Of these the index keeps the terms whose
-document frequency differs between the labels by far more than chance; texts are vectors of tf-idf weights
-over them. Examples are sorted so that like ones share blocks, and each term's postings carry the largest
-weight in each block. A query sums these to a bound of each block's cosines, visits the blocks from the
-highest bound and stops when the bound is not above its NEAREST-th best: the neighbours are exact.
+Terms are words and the five-letter beginnings of longer ones, all of them; texts are vectors of tf-idf weights.
+Terms whose document frequency differs between the labels by far more than chance weigh TELLING times as much;
+no term is left out. Examples are sorted so that like ones share blocks. Terms of few examples have postings,
+which are summed up for every example; of the terms that many examples have, the index keeps the largest weight
+in each block. Both give a bound of each block's cosines: a query visits the blocks of the highest bounds first,
+then those whose bound reaches its NEAREST-th best so far. What comes near that is computed anew in double
+precision: the neighbours are exact.
 
 The neighbours' labels are weighed by closeness and by how far the sample of each label was thinned out,
 so the score estimates a probability at the label rates of the whole fold. The neighbours are the evidence.
 
-The examples are a bounded sample, at most PER_LABEL documents of each label; the label counts are over all.
+The examples are a bounded sample, at most PER_LABEL documents of each label; the label counts are over all, and
+document frequencies are over all documents outside the held-out fold, labelled or not.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 from math import log, sqrt
 
 import numpy as np
@@ -30,8 +36,12 @@ from .common import cut, held_out, pieces
 PER_LABEL = 3000
 NEAREST = 15
 BLOCK = 64
-MOST_TERMS = 2048  # those that tell the labels apart best
-LEAST_Z, LEAST_LIFT = 6.0, 10.0  # of a term: deviations from chance (of hundreds of thousands of terms), and the ratio of its rates under the labels
+FIRST_BLOCKS = 4  # visited before the others' bounds are looked at
+MANY = 1 / 16  # of the examples have a term: it is kept by block
+AT_ONCE = 256  # queries
+SLACK = 1e-5  # more than the error of single precision
+LEAST_Z, LEAST_LIFT = 6.0, 10.0  # of a telling term: deviations from chance (of hundreds of thousands of terms), and the ratio of its rates under the labels
+TELLING = 6.0  # times the weight of another term of its frequency
 STEM = 5
 CUTOFF = 0.3
 _WORD = re.compile(r"\w+")
@@ -42,9 +52,15 @@ def terms(text: str) -> list[str]:
     return words + [w[:STEM] + "-" for w in words if len(w) > STEM]
 
 
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers from each start up to its end, one range after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 @dataclass
 class BlockMaxIndex:
-    """postings: for each term, per block (block, largest weight, example numbers, weights)."""
+    """The vector of example n is (term, weight)[start[n]:start[n + 1]]; the inverted index is made of these where it is used."""
 
     idf: dict[str, float]
     ids: list[int]
@@ -52,26 +68,31 @@ class BlockMaxIndex:
     weight_of: tuple[float, float]
     empty_score: float
     prior: float
-    blocks: int = 0
-    postings: dict[str, list] = field(default_factory=dict)
+    unseen: float = 1.0  # weight of a term that no example has
+    term: np.ndarray | None = None
+    weight: np.ndarray | None = None
+    start: np.ndarray | None = None
     seen: dict = field(default_factory=dict)
+    ready: bool = False
 
     @classmethod
-    def build(cls, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], weight_of: tuple[float, float]) -> BlockMaxIndex:
+    def build(cls, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], weight_of: tuple[float, float], unseen: float = 1.0) -> BlockMaxIndex:
         """examples: (id, label, term frequencies); weight_of: documents of the fold behind an example, by label."""
         empty = [sum(weight_of[k] for _, k, tf in examples if not tf and k == label) for label in (0, 1)]
         full = [sum(weight_of[k] for _, k, _ in examples if k == label) for label in (0, 1)]
         prior = full[1] / sum(full) if sum(full) else 0.0
         blank = (empty[1] + prior) / (sum(empty) + 1)
-        vectors = [(i, k, cls._unit(tf, idf)) for i, k, tf in examples if tf]
-        vectors.sort(key=lambda x: (max(x[2].items(), key=lambda t: (t[1], t[0])), x[0]))
-        index = cls(idf, [v[0] for v in vectors], [v[1] for v in vectors], weight_of, blank, prior, -(-len(vectors) // BLOCK))
-        lists: dict[str, dict[int, list]] = {}
-        for n, (_, _, vector) in enumerate(vectors):
-            for term, w in vector.items():
-                lists.setdefault(term, {}).setdefault(n // BLOCK, []).append((n % BLOCK, w))
-        for term, by_block in lists.items():
-            index.postings[term] = [(b, max(w for _, w in p), np.array([n for n, _ in p]), np.array([w for _, w in p])) for b, p in sorted(by_block.items())]
+        number, vectors = {t: n for n, t in enumerate(idf)}, []
+        for i, k, tf in examples:
+            if tf:
+                unit = cls._unit(tf, idf)
+                lead = max(unit.items(), key=lambda t: (t[1], t[0]))
+                vectors.append((lead, i, k, np.array([number[t] for t in unit], np.int32), np.array(list(unit.values()))))
+        vectors.sort(key=lambda x: (x[0], x[1]))
+        index = cls(idf, [v[1] for v in vectors], [v[2] for v in vectors], weight_of, blank, prior, unseen)
+        if vectors:
+            index.term, index.weight = np.concatenate([v[3] for v in vectors]), np.concatenate([v[4] for v in vectors])
+            index.start = np.cumsum([0] + [len(v[3]) for v in vectors])
         return index
 
     @staticmethod
@@ -80,34 +101,101 @@ class BlockMaxIndex:
         norm = sqrt(sum(w * w for w in raw.values()))
         return {t: w / norm for t, w in raw.items()}
 
+    def _prepare(self) -> None:
+        """Postings (at, held) of the terms of few examples, and by block the weights of the others (grid) and their largest (most)."""
+        self.number, self.value = {t: n for n, t in enumerate(self.idf)}, np.array([*self.idf.values(), self.unseen])
+        self.blocks, self.ready = -(-len(self.ids) // BLOCK), True
+        if not self.ids:
+            return
+        at = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.start))
+        df = np.bincount(self.term, minlength=len(self.idf))
+        common = df >= max(MANY * len(self.ids), 2)
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        here = common[self.term]
+        self.grid = np.zeros((self.blocks, max(int(common.sum()), 1), BLOCK), np.float32)
+        self.grid[at[here] // BLOCK, self.column[self.term[here]], at[here] % BLOCK] = self.weight[here]
+        self.most = np.ascontiguousarray(self.grid.max(2).T)
+        rest = np.flatnonzero(~here)
+        rest = rest[np.argsort(self.term[rest], kind="stable")]
+        self.at, self.held = at[rest], self.weight[rest]
+        self.first = np.searchsorted(self.term[rest], np.arange(len(self.idf) + 1))
+
     def nearest(self, vector: dict[str, float], k: int = NEAREST) -> list[tuple[float, int]]:
-        """(cosine, example) of the k highest cosines over 0, exactly; of equal ones, those of the block visited first."""
-        bound = np.zeros(self.blocks)
-        inside: dict[int, list] = {}
-        for term, q in vector.items():
-            for b, most, at, w in self.postings.get(term, ()):
-                bound[b] += q * most
-                inside.setdefault(b, []).append((q, at, w))
-        best: list[tuple[float, int]] = []
-        for b in sorted(inside, key=lambda b: (-bound[b], b)):
-            if len(best) == k and bound[b] <= best[-1][0] - 1e-12:
-                break
-            scores = np.zeros(BLOCK)
-            for q, at, w in inside[b]:
-                scores[at] += q * w
-            best += [(float(scores[n]), b * BLOCK + int(n)) for n in np.flatnonzero(scores)]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
-        return best
+        """(cosine, example) of the k highest cosines over 0, exactly; of equal ones, the example of the smaller number."""
+        if not self.ready:
+            self._prepare()
+        known = [(self.number[t], w) for t, w in vector.items() if t in self.number]
+        return self._search([(np.array([n for n, _ in known], np.int64), np.array([w for _, w in known], float))], k)[0]
+
+    def _search(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[list[tuple[float, int]]]:
+        """nearest() of each query (term numbers, weights)."""
+        if not self.ids or not queries:
+            return [[] for _ in queries]
+        scores = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
+        wide = np.zeros((len(queries), self.grid.shape[1]), np.float32)
+        for n, (term, w) in enumerate(queries):
+            column = self.column[term]
+            wide[n, column[column >= 0]] = w[column >= 0]
+            term, w = term[column < 0], w[column < 0]
+            lo, hi = self.first[term], self.first[term + 1]
+            p = _ranges(lo, hi)
+            scores[n] = np.bincount(self.at[p], np.repeat(w, hi - lo) * self.held[p], scores.shape[1])
+        by_block = scores.reshape(len(queries), self.blocks, BLOCK)
+        bound = by_block.max(2) + wide @ self.most + SLACK
+        to_visit = np.zeros(bound.shape, bool)
+        np.put_along_axis(to_visit, np.argsort(-bound, 1, "stable")[:, :FIRST_BLOCKS], True, 1)
+        k_th = max(scores.shape[1] - k, 0)
+        for last in (False, True):
+            for b in np.flatnonzero(to_visit.any(0)):
+                rows = np.flatnonzero(to_visit[:, b])
+                by_block[rows, b] += wide[rows] @ self.grid[b] if 2 * len(rows) < len(wide) else (wide @ self.grid[b])[rows]
+            least = np.partition(scores, k_th, 1)[:, k_th]  # what isn't visited counts with a part of its cosine: no more than the whole
+            if not last:
+                to_visit = (bound >= least[:, None]) & ~to_visit
+        out, dense = [], np.zeros(len(self.idf))
+        for n, (term, w) in enumerate(queries):
+            some = np.flatnonzero((scores[n] >= least[n] - SLACK) & (scores[n] > 0))
+            if not len(some):
+                out.append([])
+                continue
+            dense[term] = w
+            sizes = self.start[some + 1] - self.start[some]
+            p = _ranges(self.start[some], self.start[some + 1])
+            exact = np.add.reduceat(dense[self.term[p]] * self.weight[p], np.cumsum(sizes) - sizes)
+            dense[term] = 0
+            order = np.lexsort((some, -exact))[:k]
+            out.append(list(zip(exact[order].tolist(), some[order].tolist(), strict=True)))
+        return out
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, str]]:
+        """(probability of label 1, evidence as example:label:cosine of the five nearest) of each text."""
+        if not self.ready:
+            self._prepare()
+        if len(self.seen) > 50_000:
+            self.seen.clear()
+        keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if t else b"" for t in texts]
+        self.seen[b""] = (self.empty_score, "")
+        fresh = list({key: t for key, t in zip(keys, texts, strict=True) if key not in self.seen}.items())
+        for first in range(0, len(fresh), AT_ONCE):
+            queries, some = [], []
+            for key, text in fresh[first : first + AT_ONCE]:
+                tf = Counter(terms(text))
+                if not tf:
+                    self.seen[key] = self.seen[b""]
+                    continue
+                term = np.fromiter(map(self.number.get, tf, repeat(-1)), np.int64, len(tf))
+                w = (1 + np.log(np.fromiter(tf.values(), float, len(tf)))) * self.value[term]
+                w /= sqrt(w @ w)
+                queries.append((term[term >= 0], w[term >= 0]))
+                some.append(key)
+            for key, near in zip(some, self._search(queries), strict=True):
+                self.seen[key] = self._vote(near)
+        return [self.seen[key] for key in keys]
 
     def score(self, text: str | None) -> tuple[float, str]:
-        """(probability of label 1, evidence as example:label:cosine of the five nearest)."""
-        tf = Counter(t for t in terms(text or "") if t in self.idf)
-        if not tf:
-            return self.empty_score, ""
-        key = tuple(sorted(tf.items()))
-        if key in self.seen:
-            return self.seen[key]
-        near = self.nearest(self._unit(tf, self.idf))
+        return self.scores([text])[0]
+
+    def _vote(self, near: list[tuple[float, int]]) -> tuple[float, str]:
         votes = [self.prior * 0.1, 0.1]  # a tenth of a vote for the rate of the fold
         each = [(1 / (1.05 - min(c, 1.0)), n) for c, n in near]
         scale = sum(w for w, _ in each) or 1.0
@@ -115,11 +203,7 @@ class BlockMaxIndex:
             weight = len(each) * w / scale * self.weight_of[self.labels[n]] / max(self.weight_of)
             votes[0] += weight * self.labels[n]
             votes[1] += weight
-        out = (min(max(votes[0] / votes[1], 0.0), 1.0), ",".join(f"{self.ids[n]}:{self.labels[n]}:{c:.3f}" for c, n in near[:5]))
-        if len(self.seen) > 50_000:
-            self.seen.clear()
-        self.seen[key] = out
-        return out
+        return min(max(votes[0] / votes[1], 0.0), 1.0), ",".join(f"{self.ids[n]}:{self.labels[n]}:{c:.3f}" for c, n in near[:5])
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> BlockMaxIndex:
@@ -142,41 +226,67 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5, id_col: str = "doc_id
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, found in pieces(batch, "text"):
-                for n, text in enumerate(found):
-                    tf = Counter(terms(text))
-                    one = batch.slice(first + n, 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(one.column(c).to_pylist() * len(tf), t) for c, t in (("i", pa.int64()), ("k", pa.int32()))] + [pa.array(list(tf), pa.string()), pa.array(list(tf.values()), pa.int32())], ["i", "k", "term", "tf"])
-
-    long = texts.mapInArrow(words, "i long, k int, term string, tf int")
-    sizes = {r.k: r["count"] for r in texts.groupBy("k").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+                tfs = [Counter(terms(text)) for text in found]
+                some = batch.slice(first, len(found))
+                yield pa.RecordBatch.from_arrays([some.column("i"), some.column("k"), pa.array([list(tf) for tf in tfs], pa.list_(pa.string())), pa.array([list(tf.values()) for tf in tfs], pa.list_(pa.int32()))], ["i", "k", "terms", "tfs"])
+
+    examples = []
+    for batch in texts.mapInArrow(words, "i long, k int, terms array<string>, tfs array<int>").toArrow().to_batches():
+        for i, k, found, tfs in zip(*(batch.column(c) for c in range(4)), strict=True):
+            examples.append((i.as_py(), k.as_py(), dict(zip(map(sys.intern, found.as_py()), tfs.as_py(), strict=True))))
+    examples.sort(key=lambda x: x[:2])
+    sizes = Counter(k for _, k, _ in examples)
+    n0, n1 = sizes[0], sizes[1]
     if not n0 + n1:
         return BlockMaxIndex({}, [], [], (1.0, 1.0), 0.0, 0.0)
-    df = long.groupBy("term").agg(F.sum(F.when(F.col("k") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("k") == 0, 1).otherwise(0)).alias("b"))
-    df = df.withColumn("p", F.col("a") / max(n1, 1)).withColumn("q", F.col("b") / max(n0, 1)).withColumn("m", (F.col("a") + F.col("b")) / (n0 + n1))
-    df = df.withColumn("z", F.abs(F.col("p") - F.col("q")) / F.sqrt(F.greatest(F.col("m") * (1 - F.col("m")), F.lit(1e-9)) * (1 / max(n0, 1) + 1 / max(n1, 1))))
-    lift = (F.greatest("p", "q") + 1e-9) / (F.least("p", "q") + 0.5 / (n0 + n1))
-    kept = df.where((F.col("z") >= LEAST_Z) & (lift >= LEAST_LIFT)).orderBy(F.desc("z"), "term").limit(MOST_TERMS)
-    idf = {r.term: log((1 + n0 + n1) / (1 + r.a + r.b)) + 1e-6 for r in kept.select("term", "a", "b").collect()}
-    in_terms = long.where(F.col("term").isin(list(idf))) if idf else long.limit(0)
-    vectors: dict[tuple[int, int], dict[str, int]] = {(r.i, r.k): {} for r in texts.select("i", "k").collect()}
-    for r in in_terms.collect():
-        vectors[r.i, r.k][r.term] = max(r.tf, vectors[r.i, r.k].get(r.term, 0))
-    weight = tuple(count.get(k, 0) / max(sizes.get(k, 0), 1) for k in (0, 1))
-    return BlockMaxIndex.build(idf, [(i, k, tf) for (i, k), tf in sorted(vectors.items())], weight)
+    under = [Counter(t for _, k, tf in examples if k == label for t in tf) for label in (0, 1)]
+    vocabulary = docs.sparkSession.sparkContext.broadcast({t: n for n, t in enumerate(sorted(under[0].keys() | under[1].keys()))})
+
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many texts of a partition have each term of the examples; the term null counts texts."""
+        number, n = vocabulary.value, 0
+        df = np.zeros(len(number) + 1, np.int64)  # the last: of terms that no example has
+        for batch in batches:
+            for _, found in pieces(batch, "text"):
+                n, at = n + len(found), []
+                for text in found:
+                    here = set(_WORD.findall(text.lower()))
+                    here.update([w[:STEM] + "-" for w in here if len(w) > STEM])
+                    at += map(number.get, here, repeat(len(number)))
+                df += np.bincount(np.array(at, np.int64), minlength=len(df))
+        some = pa.array([t for t, c in zip(number, df.tolist(), strict=False) if c] + [None], pa.string())
+        yield pa.RecordBatch.from_arrays([some, pa.array([*df[:-1][df[:-1] > 0].tolist(), n], pa.int64())], ["term", "n"])
+
+    every = docs.where(F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"))
+    counted = every.mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist(), strict=True))
+    n = df.pop(None, 0)
+    vocabulary.unpersist()
+    idf = {t: (log((1 + n) / (1 + c)) + 1e-6) * (TELLING if _telling(under[0][t], under[1][t], n0, n1) else 1.0) for t, c in sorted(df.items())}
+    weight = tuple(count.get(k, 0) / max(sizes[k], 1) for k in (0, 1))
+    return BlockMaxIndex.build(idf, examples, weight, log(1 + n) + 1e-6)
+
+
+def _telling(b: int, a: int, n0: int, n1: int) -> bool:
+    """Whether a term of b of n0 examples with label 0 and of a of n1 with label 1 tells them apart."""
+    q, p, m = b / max(n0, 1), a / max(n1, 1), (a + b) / (n0 + n1)
+    z = abs(p - q) / sqrt(max(m * (1 - m), 1e-9) * (1 / max(n0, 1) + 1 / max(n1, 1)))
+    return z >= LEAST_Z and (max(p, q) + 1e-9) / (min(p, q) + 0.5 / (n0 + n1)) >= LEAST_LIFT
 
 
 def score_documents(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, evidence of each row, in one pass without a shuffle.
 
-    Null and empty texts, and texts without a term of the index, score the rate of label 1 among such examples;
+    Texts that are null or have no word score the rate of label 1 among such examples;
     repeated rows are scored each; an empty table gives no rows; only id and text are read.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # a worker makes the inverted index once for all its tasks
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in pieces(batch, "text"):
-                got = [index.score(t) for t in texts]
+                got = shared.value.scores(texts)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(c).slice(first, len(texts)) for c in ("doc_id", "held_out")), pa.array([s for s, _ in got], pa.float64()), pa.array([int(s >= CUTOFF) for s, _ in got], pa.int32()), pa.array([e for _, e in got], pa.string())],
                     ["doc_id", "held_out", "score", "predicted", "evidence"],

@@ -351,6 +351,39 @@ def test_nearest_are_exact():
         assert np.allclose([c for c, _ in index.nearest(q)], want)
 
 
+def test_every_term_and_example_is_compared(spark):
+    """A copy of an example is found though it has no word that tells the labels apart, and so is what is like it in part."""
+    rnd = random.Random(4)
+    rows = [(i, prose(rnd, 30)) for i in range(300)]
+    marks = [(i, 1, int(i % 7 == 0)) for i in range(300)]
+    fit_ids = [i for i, _, k in marks if k and zlib.crc32(str(i).encode()) % 4 != 2]
+    new = [i for i in range(1000, 1200) if zlib.crc32(str(i).encode()) % 4 == 2][: len(fit_ids)]
+    rows += [(n, rows[i][1]) for n, i in zip(new, fit_ids, strict=False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = toxicity.fit(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    taught = [i for i, _, _ in marks if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(index.ids) == taught and set(index.idf) == {t for i in taught for t in toxicity.terms(rows[i][1])}
+    by = {r.doc_id: r for r in toxicity.score_documents(docs, index).collect()}
+    for n, i in zip(new, fit_ids, strict=False):
+        assert by[n].evidence.startswith(f"{i}:1:1.000,") and by[n].predicted
+    assert all(r.evidence.count(",") == 4 for r in by.values())
+
+
+def test_nearest_are_exact_among_rare_and_common_terms():
+    rng = np.random.default_rng(5)
+    idf = {f"t{k}": float(rng.uniform(0.2, 6)) for k in range(3000)}
+    some = lambda: {f"t{k}": int(rng.integers(1, 4)) for k in np.minimum(rng.zipf(1.3, 40), 2999)}
+    examples = [(i, i % 2, some()) for i in range(900)]
+    index = toxicity.BlockMaxIndex.build(idf, examples, (1.0, 1.0))
+    units = {i: index._unit(tf, idf) for i, _, tf in examples}
+    for _ in range(60):
+        q = index._unit(some(), idf)
+        cosines = {i: sum(w * units[i].get(t, 0) for t, w in q.items()) for i in units}
+        near = index.nearest(q)
+        assert np.allclose([c for c, _ in near], sorted(cosines.values(), reverse=True)[: toxicity.NEAREST], rtol=1e-12)
+        assert np.allclose([cosines[index.ids[n]] for _, n in near], [c for c, _ in near], rtol=1e-12)
+
+
 def plain_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
