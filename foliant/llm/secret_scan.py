@@ -1,10 +1,13 @@
 """Secrets in texts: three fixed patterns, and windows of high Shannon entropy in candidate strings.
 
 A candidate is a run of 20 or more characters of the base-64 alphabet. A window of WINDOW characters slides
-over it; for each character class (hex digits, letters with digits and signs) the counts of the characters
-in the window are kept up to date as it moves, and with them the sum of c log2 c, so that the entropy of
-each window costs two updates. Windows over the threshold of their class are joined to spans. Candidates
-that the allow-list knows as harmless add none; the spans of the fixed patterns are never suppressed.
+over it; the counts of the characters in the window are kept up to date as it moves, and with them the sum of
+c log2 c, so that the entropy of each window costs two updates. A window has the class of the characters that
+are in it, and each class a threshold under what a window of random characters of the class has. Words reach
+these thresholds too: windows of letters alone count only if many of their pairs of letters are none that
+words are made of, and windows under WORDLIKE bits don't count if they look like words with numbers. A candidate
+with a window that counts is a span as a whole. Candidates that the allow-list knows as harmless are none; the
+spans of the fixed patterns are never suppressed.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import pieces
 
-KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed")
+KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_mixed", "entropy_lower", "entropy_upper", "entropy_letters", "entropy_case")
 
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a run of 20 characters or more; a shorter one holds no longer one
@@ -31,48 +34,80 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{16}|[A-Za-z0-9+/_=-]{20}"""
 
 WINDOW = 20
-THRESHOLD = {"entropy_hex": 3.0, "entropy_mixed": 3.8}  # bits a character; the most are 4 and log2(20) = 4.3
+#: Bits a character. Of 20000 random windows of an alphabet a thousandth has less than: hex digits 2.71; base 64 3.48; base 36 3.20
+#: and base 32 3.15 (one case with digits); letters of one case 3.04, of both 3.40.
+THRESHOLD = {"entropy_hex": 2.7, "entropy_mixed": 3.45, "entropy_lower": 3.1, "entropy_upper": 3.1, "entropy_letters": 3.0, "entropy_case": 3.35}
+WORDLIKE = 3.8
 ALLOWED = (
-    re.compile(r"[A-Za-z]+"),  # a long word
     re.compile(r"[0-9]+"),  # a long number
-    re.compile(r"[a-zA-Z]+([-_/=+]+[a-zA-Z]+)*[-_/=+]*"),  # words in a path or an identifier
     re.compile(r"(.)\1*"),  # a rule of one character
     re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),  # a UUID
 )
 _HEX = frozenset("0123456789abcdefABCDEF")
+#: Pairs of letters that words are made of: for each letter those that often follow it, in English, German, French or Spanish.
+_FOLLOW = {
+    "a": "bcdgilmnprstuvy", "b": "aeiloru", "c": "aehiklortu", "d": "aeiorsu", "e": "abcdeghilmnprstuvxz", "f": "aefilortu", "g": "aehilnorstu",
+    "h": "aeilmnortu", "i": "abcdefgklmnorstv", "j": "aeou", "k": "eilnot", "l": "adeilostuy", "m": "abeimopu", "n": "acdegiknostu", "o": "bcdflmnoprstuvw",
+    "p": "aefhiloprtu", "q": "u", "r": "abcdeghiklmnorstuvy", "s": "acehiopstu", "t": "aehilorstuwyz", "u": "abcdefgilmnprst", "v": "aeio", "w": "aehior",
+    "x": "aipt", "z": "etu",
+}
+_USUAL = frozenset(a + b for a, more in _FOLLOW.items() for b in more)
 _CLOGC = [0.0] + [c * log2(c) for c in range(1, WINDOW + 1)]
 
 
 def entropy_spans(run: str) -> list[tuple[str, int, int]]:
-    """(kind, start, end) of the joined windows over their class's threshold, within a candidate string."""
+    """[(kind, start, end)] of a candidate string, all of it, if one of its windows counts as random; kind is the first such window's."""
     if any(p.fullmatch(run) for p in ALLOWED):
         return []
     counts: dict[str, int] = {}
-    total = digits = alien = 0  # sum of c log2 c; digits; characters that are no hex digits
-    out: list[tuple[str, int, int]] = []
+    total = 0.0  # sum of c log2 c
+    n = dict.fromkeys(("digit", "lower", "upper", "alien", "pair", "usual", "turn"), 0)  # in the window; alien: no hex digit; turn: a digit beside a letter
+
+    def move(at: int, by: int) -> None:
+        c = run[at]
+        n["digit"] += by * c.isdigit()
+        n["lower"] += by * c.islower()
+        n["upper"] += by * c.isupper()
+        n["alien"] += by * (c not in _HEX)
+
+    def move_pair(at: int, by: int) -> None:
+        a, b = run[at], run[at + 1]
+        if a.isalpha() and b.isalpha():
+            n["pair"] += by
+            n["usual"] += by * ((a + b).lower() in _USUAL)
+        n["turn"] += by * (a.isdigit() and b.isalpha() or a.isalpha() and b.isdigit())
+
     for at, c in enumerate(run):
-        n = counts.get(c, 0)
-        total += _CLOGC[n + 1] - _CLOGC[n]
-        counts[c] = n + 1
-        digits += c.isdigit()
-        alien += c not in _HEX
+        k = counts.get(c, 0)
+        total += _CLOGC[k + 1] - _CLOGC[k]
+        counts[c] = k + 1
+        move(at, 1)
+        if at:
+            move_pair(at - 1, 1)
         first = at - WINDOW + 1
         if first > 0:
             c = run[first - 1]
-            n = counts[c]
-            total += _CLOGC[n - 1] - _CLOGC[n]
-            counts[c] = n - 1
-            digits -= c.isdigit()
-            alien -= c not in _HEX
-        if first < 0 or not 0 < digits < WINDOW:  # secrets of these classes mix digits and letters
+            k = counts[c]
+            total += _CLOGC[k - 1] - _CLOGC[k]
+            counts[c] = k - 1
+            move(first - 1, -1)
+            move_pair(first - 1, -1)
+        letters = n["lower"] + n["upper"]
+        if first < 0 or not letters:
             continue
-        kind = "entropy_mixed" if alien else "entropy_hex"
-        if log2(WINDOW) - total / WINDOW >= THRESHOLD[kind]:
-            if out and out[-1][0] == kind and out[-1][2] >= first:
-                out[-1] = (kind, out[-1][1], at + 1)
-            else:
-                out.append((kind, first, at + 1))
-    return out
+        if n["digit"]:
+            kind = "entropy_hex" if not n["alien"] else "entropy_mixed" if n["lower"] and n["upper"] else "entropy_lower" if n["lower"] else "entropy_upper"
+        else:
+            kind = "entropy_case" if n["lower"] and n["upper"] else "entropy_letters"
+        entropy = log2(WINDOW) - total / WINDOW
+        if entropy < THRESHOLD[kind] - 1e-12:
+            continue
+        if not n["digit"] and (n["pair"] < 8 or n["usual"] > 0.7 * n["pair"]):
+            continue
+        if kind in ("entropy_mixed", "entropy_lower", "entropy_upper") and entropy < WORDLIKE and n["turn"] <= 3 and n["pair"] >= 5 and n["usual"] >= 0.75 * n["pair"]:
+            continue
+        return [(kind, 0, len(run))]
+    return []
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

@@ -168,6 +168,22 @@ def test_incremental_entropy_equals_the_plain_one():
         assert want <= got
 
 
+def test_random_strings_of_every_alphabet_are_found_whole():
+    rnd = random.Random(9)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for alphabet in (low + digits, up + digits, up + "234567", low + up + digits, low + up + digits + "+/", "0123456789abcdef", "0123456789ABCDEF", low, up, low + up):
+        for length in (20, 24, 32, 40, 64):
+            runs = ["".join(rnd.choice(alphabet) for _ in range(length)) for _ in range(200)]
+            found = [secret_scan.entropy_spans(run) for run in runs]
+            assert all([(0, length)] == [(a, b) for _, a, b in f] for f in found if f)
+            assert sum(map(bool, found)) >= 194, (alphabet, length)
+    text = "key " + "".join(rnd.choice(low + digits) for _ in range(32)) + " end"
+    base, more = secret_scan.scan(text)
+    assert secret_scan.redact(text, base + more) == "key [SECRET] end"
+    for words in ("internationalizationconfiguration", "Donaudampfschifffahrtsgesellschaft", "getUserAccountSettingsFromRequest", "docs/reports/monthly-summary-2024", "anticonstitutionnellement", "MAXIMUM_CONNECTION_TIMEOUT"):
+        assert secret_scan.entropy_spans(words) == [], words
+
+
 def plain_removal(rows, length=50):
     holders = collections.defaultdict(set)
     for i, t in rows:
