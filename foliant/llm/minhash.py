@@ -176,7 +176,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, hashes:
 
     signed = cut(texts.mapInArrow(sign, "doc_id long, n_shingles long, node binary, bands binary"))
     n_bands = 2 * hashes // rows
-    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
+    # rows without an id link with nothing: a node of such rows only is in no cluster, and is nobody's hub
+    nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
     band = F.expr(f"explode(transform(sequence(0, {n_bands - 1}), i -> substring(bands, 8 * i + 1, 8)))")
     banded = nodes.select("node", band.alias("key"))
     # a bucket's smallest node stands for it; counting and taking the least are done before the shuffle

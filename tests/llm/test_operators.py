@@ -518,6 +518,19 @@ def test_near_duplicates(docs, empty, monkeypatch, part):
         assert set(range(101, 108)) <= gone and gone <= set(range(101, 225)) and "extra" in set(left[0])
 
 
+def test_a_hub_without_an_id(spark, monkeypatch):
+    """The most-met node of a group cut into slices has rows without an id only: the others still are one component."""
+    monkeypatch.setattr(minhash, "SLICE", 8)
+    words = prose(random.Random(12), 400).split()
+    near = [" ".join(words[:k] + [f"other{k}"] + words[k + 1 :]) for k in range(5, 395, 8)]
+    for start in range(2):  # whichever node is the hub, in one of the two it has no id
+        rows = [(k if k % 2 == start else None, t) for k, t in enumerate(near)] + [(None, " ".join(words))]
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        got = minhash.near_duplicates(df, percent=85).collect()
+        assert {r.component_id for r in got if r.doc_id is not None} == {start} and sum(r.doc_id is not None for r in got) == sum(i is not None for i, _ in rows)
+        assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
+
+
 def test_min_max_signatures_estimate_similarity():
     rng = np.random.default_rng(3)
     a = rng.integers(0, 1 << 63, 4000).astype(np.uint64)
