@@ -1,13 +1,13 @@
-"""Removal of long byte strings that an earlier document has, by distributed prefix doubling.
+"""Removal of long byte strings that an earlier document has, by fingerprints of minimizer contexts.
 
-Prefix doubling ranks the suffixes of a text by ever longer prefixes and drops a suffix once its rank is
-its own. Here the suffixes of all documents are ranked by Spark: each round hashes strings of a growing
-length, deals the pairs (position, hash) into buckets, sorts each bucket, and tells the positions whose hash is
-shared, which alone go on: strings of a third of the threshold, then of two thirds, then of the whole.
+This stands in the place of prefix doubling, which would rank every position by pairs of earlier ranks: nothing
+is ranked here. Each round hashes strings of a growing length anew from the text, deals the hashes into
+buckets, sorts each bucket, and tells the positions whose hash is shared, which alone go on: strings of a third
+of the threshold, then of two thirds, then of the whole.
 
 Two things keep the rounds small. (1) Positions are represented by anchors: the leftmost smallest hash of
 the short strings inside a window of threshold length. Windows alike have the same anchor at the same place,
-so ranking anchors ranks every window; about one position in 17 is one. (2) A window range with one anchor is
+so asking about anchors asks about every window; about one position in 17 is one. (2) A window range with one anchor is
 first asked about as one string (its context): what lies inside a longer repeat is settled at once.
 
 Positions travel packed: documents are dealt into chunks, each chunk asks a bucket about a string once,
