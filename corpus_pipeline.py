@@ -15,12 +15,18 @@ from pyspark.sql import functions as F
 from foliant.llm import bpe, langid, minhash, mixing, secret_scan
 from foliant.llm.common import shared_dir
 
-LEAST_SCORE = 0.35  # of a language; even odds among four would be 0.25
+LEAST_SCORE, OVER_EVEN = 0.35, 1.4  # of a language: the first, or so many times even odds where these are less, as with more than four
+
+
+def least_score(langs: int) -> float:
+    """The least score of a language that is known, among so many."""
+    return min(LEAST_SCORE, OVER_EVEN / max(langs, 1))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is known. The network learns from the labelled rows of docs."""
-    return langid.keep_identified(docs, langid.train(docs), LEAST_SCORE)
+    net = langid.train(docs)
+    return langid.keep_identified(docs, net, least_score(len(net.langs)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,8 +4,8 @@ Bytes are embedded; filters of several widths slide over a window of WINDOW byte
 maximum over the window; a linear layer and softmax follow. A text is cut into windows of that length, all
 of which are classified, in batches; its probabilities are the windows' means, weighted by their bytes.
 
-The network learns from a bounded sample: at most PER_LANG documents of each of the LANGS most frequent
-labels, chosen by a hash of the id, and SPOTS windows of each. Everything is predicted with all windows.
+The network learns every label from a bounded sample: at most PER_LANG documents of each, chosen by a hash of
+the id, and SPOTS windows of each document. Everything is predicted with all windows.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import held_out, pieces
 
 WINDOW, EMBED, WIDTHS, FILTERS = 256, 6, (2, 3, 4), 8
-LANGS, PER_LANG, SPOTS = 200, 400, 4
+PER_LANG, SPOTS = 400, 4
 UNKNOWN = "und"
 
 
@@ -134,7 +134,7 @@ def train(docs: DataFrame, seed: int = 3, epochs: int = 8, id_col: str = "doc_id
     """
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
     rows = rows.select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(counts)
     net = ByteConvNet.fresh(langs, rng := np.random.default_rng(seed))
     if not langs:

@@ -311,6 +311,13 @@ def test_language(spark, empty):
     assert langid.identify(empty, none).count() == 0 and langid.identify(df, none).first().lang_pred == "und"
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"label {i % 230} text", f"l{i % 230}") for i in range(920)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = {k for i, _, k in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert len(taught) > 200 and set(langid.train(df, epochs=1).langs) == taught
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = langid.ByteConvNet.fresh(["a", "b", "c"], rng)

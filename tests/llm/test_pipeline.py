@@ -60,6 +60,11 @@ def test_stages(spark, docs, tmp_path):
     assert ids["encoding"] == ids["mixing"]
 
 
+def test_least_score_follows_the_number_of_labels():
+    assert [corpus_pipeline.least_score(n) for n in (0, 1, 2, 4)] == [0.35] * 4
+    assert all(1 / n < corpus_pipeline.least_score(n) < 1.5 / n for n in (5, 50, 500))
+
+
 def test_run_and_empty(spark, docs, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 60
