@@ -442,7 +442,7 @@ def warp_mode(spark, d):
 
 @query
 def apply_crop(spark, d):
-    return warp.apply_crop(_choices(spark, d).where("choice <> 'CUSTOM'")).select("quad_id", "choice", "out_w", "out_h")
+    return warp.apply_crop(_choices(spark, d)).select("quad_id", "choice", "out_w", "out_h")
 
 
 # detection

@@ -4,16 +4,37 @@ from __future__ import annotations
 
 import math
 
-from ..operators.color import RECIPES
-
-GRAY = """gray AS (
-  SELECT vec_id AS img_id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x,
-         least(255, greatest(0, floor((embedding[i + 1]::DOUBLE + 1) * 127.5)))::INTEGER AS lum
-  FROM embeddings, (SELECT unnest(range(64)) AS i))"""
-RGB = f"""{GRAY}, rgb AS (
-  SELECT r.img_id // 3 AS img_id, r.y, r.x, r.lum AS r, g.lum AS g, b.lum AS b
-  FROM gray r JOIN gray g ON g.img_id = r.img_id + 1 AND g.y = r.y AND g.x = r.x
-  JOIN gray b ON b.img_id = r.img_id + 2 AND b.y = r.y AND b.x = r.x WHERE r.img_id % 3 = 0)"""
+# The catalogue of filters, stated here for a second time, so that a slip in the operators shows.
+RECIPES = {
+    "original": [],
+    "magic": [("saturation", 1.22), ("contrast", 1.12), ("offset", 4)],
+    "gray": [("saturation", 0)],
+    "sepia": [("rows", [[0.393, 0.769, 0.189, 0], [0.349, 0.686, 0.168, 0], [0.272, 0.534, 0.131, 0]])],
+    "polaroid": [("saturation", 0.82), ("contrast", 0.94), ("offset", 14)],
+    "vintage": [("saturation", 0.65), ("rows", [[1.05, 0.06, 0, 6], [0, 0.95, 0, 0], [0, 0, 0.8, 0]]), ("contrast", 0.9), ("offset", 10)],
+    "soft": [("saturation", 1.05), ("contrast", 0.82), ("offset", 12)],
+    "warm": [("rows", [[1.15, 0, 0, 10], [0, 1.05, 0, 0], [0, 0, 0.88, 0]])],
+    "cool": [("rows", [[0.88, 0, 0, 0], [0, 1, 0, 0], [0, 0, 1.15, 12]])],
+    "ocean": [("saturation", 0.85), ("rows", [[0.85, 0.15, 0, 0], [0.05, 0.95, 0, 4], [0.1, 0.25, 0.95, 10]])],
+    "rose": [("saturation", 1.05), ("rows", [[1.12, 0.12, 0, 6], [0.04, 0.92, 0.1, 0], [0.05, 0.12, 0.85, 0]])],
+    "blue": [("saturation", 0), ("rows", [[0.15, 0.15, 0.15, 0], [0.45, 0.45, 0.45, 0], [0.95, 0.95, 0.95, 12]])],
+    "invert": [("rows", [[-1, 0, 0, 255], [0, -1, 0, 255], [0, 0, -1, 255]])],
+    "vivid": [("saturation", 1.6)],
+    "faded": [("saturation", 0.65), ("contrast", 0.92), ("offset", 18)],
+    "crisp": [("saturation", 1.12), ("contrast", 1.28)],
+    "night": [("saturation", 0.9), ("contrast", 1.15), ("offset", -34)],
+}
+
+# an image's pixels come from its own row, never from a join of pixels: an optimizer may cross such a join before it filters
+_LEVEL = "least(255, greatest(0, floor(({}::DOUBLE + 1) * 127.5)))::INTEGER"
+GRAY = f"""gray AS MATERIALIZED (
+  SELECT img_id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x, {_LEVEL.format("v")} AS lum
+  FROM (SELECT vec_id AS img_id, unnest(range(64)) AS i, unnest(embedding) AS v FROM embeddings))"""
+RGB = f"""triples AS (
+  SELECT vec_id // 3 AS img_id, {", ".join(f"max(embedding) FILTER (vec_id % 3 = {k}) AS e{k}" for k in range(3))} FROM embeddings GROUP BY ALL HAVING count(*) = 3),
+rgb AS MATERIALIZED (
+  SELECT img_id, (i // 8)::INTEGER AS y, (i % 8)::INTEGER AS x, {", ".join(f"{_LEVEL.format(f'v{k}')} AS {c}" for k, c in enumerate("rgb"))}
+  FROM (SELECT img_id, unnest(range(64)) AS i, unnest(e0) AS v0, unnest(e1) AS v1, unnest(e2) AS v2 FROM triples))"""
 LUMA = "(((299 * r + 587 * g + 114 * b + 500) // 1000)::INTEGER)"
 REGISTRY = """reg AS (
   SELECT doc_id AS id, 'doc_' || doc_id AS title, 1704067200000 + doc_id * 3600000 AS timestamp, (doc_id % 5 + 1)::INTEGER AS pageCount,
@@ -42,7 +63,7 @@ def _otsu(source: str) -> str:
     return f"""hist AS (SELECT img_id, lum, count(*)::DOUBLE AS n FROM {source} GROUP BY ALL),
   cum AS (SELECT img_id, lum, sum(n) OVER u AS wb, sum(lum * n) OVER u AS sb, sum(n) OVER t AS total, sum(lum * n) OVER t AS every FROM hist
           WINDOW u AS (PARTITION BY img_id ORDER BY lum), t AS (PARTITION BY img_id)),
-  var AS (SELECT *, CASE WHEN total > wb THEN wb * (total - wb) * (sb / wb - (every - sb) / (total - wb)) * (sb / wb - (every - sb) / (total - wb)) END AS v FROM cum),
+  var AS MATERIALIZED (SELECT *, CASE WHEN total > wb THEN wb * (total - wb) * (sb / wb - (every - sb) / (total - wb)) * (sb / wb - (every - sb) / (total - wb)) END AS v FROM cum),
   best AS (SELECT img_id, lum, v, row_number() OVER (PARTITION BY img_id ORDER BY v DESC NULLS LAST, lum) AS k FROM var),
   otsu AS (SELECT img_id, CASE WHEN v > 0 THEN lum ELSE 127 END::INTEGER AS threshold FROM best WHERE k = 1)"""
 
@@ -79,10 +100,9 @@ def _colours(steps: list[tuple], source: str = "rgb") -> str:
 
 
 def _sharp(c: str, source: str) -> str:
-    return f"""SELECT p.img_id, p.y, p.x, CASE WHEN l.{c} IS NULL OR r.{c} IS NULL OR u.{c} IS NULL OR d.{c} IS NULL THEN p.{c}
-      ELSE least(255, greatest(0, 9 * p.{c} - l.{c} - r.{c} - u.{c} - d.{c})) END::INTEGER AS {c}
-    FROM {source} p LEFT JOIN {source} l ON l.img_id = p.img_id AND l.y = p.y AND l.x = p.x - 1 LEFT JOIN {source} r ON r.img_id = p.img_id AND r.y = p.y AND r.x = p.x + 1
-    LEFT JOIN {source} u ON u.img_id = p.img_id AND u.x = p.x AND u.y = p.y - 1 LEFT JOIN {source} d ON d.img_id = p.img_id AND d.x = p.x AND d.y = p.y + 1"""
+    return f"""SELECT img_id, y, x, CASE WHEN y IN (0, 7) OR x IN (0, 7) THEN {c}
+      ELSE least(255, greatest(0, 9 * {c} - lag({c}) OVER line - lead({c}) OVER line - lag({c}) OVER file - lead({c}) OVER file)) END::INTEGER AS {c}
+    FROM {source} WINDOW line AS (PARTITION BY img_id, y ORDER BY x), file AS (PARTITION BY img_id, x ORDER BY y)"""
 
 
 def _around(agg: str, source: str) -> str:
@@ -114,7 +134,7 @@ def _round(v: str) -> str:
     return f"floor({v} + 0.5)::INTEGER"
 
 
-MEASURED = f"""measured AS (
+MEASURED = f"""measured AS MATERIALIZED (
   SELECT *, greatest({_dist(0, 1)}, {_dist(2, 3)}, {_dist(0, 3)}, {_dist(1, 2)}) AS longest,
          0.5::DOUBLE * ({_dist(0, 1)} + {_dist(2, 3)}) >= 0.5::DOUBLE * ({_dist(0, 3)} + {_dist(1, 2)}) AS wide,
          greatest(1, {_round(f"greatest({_dist(0, 1)}, {_dist(2, 3)})")} + 1) AS old_w, greatest(1, {_round(f"greatest({_dist(0, 3)}, {_dist(1, 2)})")} + 1) AS old_h FROM quads)"""
@@ -124,14 +144,14 @@ def _det(a: str, b: str, c: str) -> str:
     return f"(p{a} * (q{b} - q{c}) - q{a} * (p{b} - p{c}) + (p{b} * q{c} - p{c} * q{b}))"
 
 
-RATIO = f"""centred AS (SELECT *, {", ".join(f"x{k} - src_w * 0.5::DOUBLE AS p{k}, y{k} - src_h * 0.5::DOUBLE AS q{k}" for k in range(4))} FROM measured),
-  dets AS (SELECT *, {_det("1", "3", "2")} AS d2, {_det("3", "1", "2")} AS d3, {_det("0", "3", "2")} AS n2, {_det("0", "1", "2")} AS n3 FROM centred),
-  ks AS (SELECT *, CASE WHEN abs(d2) >= 1e-9 AND abs(d3) >= 1e-9 THEN n2 / d2 END AS k2, CASE WHEN abs(d2) >= 1e-9 AND abs(d3) >= 1e-9 THEN n3 / d3 END AS k3 FROM dets),
-  ns AS (SELECT *, k2 * p1 - p0 AS ax, k2 * q1 - q0 AS ay, k2 - 1 AS az, k3 * p3 - p0 AS bx, k3 * q3 - q0 AS bye, k3 - 1 AS bz FROM ks),
-  fs AS (SELECT *, CASE WHEN abs(az) >= 1e-6 AND abs(bz) >= 1e-6 THEN -(ax * bx + ay * bye) / (az * bz) END AS f0 FROM ns),
-  ff AS (SELECT *, CASE WHEN k2 IS NULL OR abs(az) < 1e-6 OR abs(bz) < 1e-6 THEN NULL WHEN f0 > 0 AND isfinite(f0) THEN f0 ELSE greatest(src_w, src_h)::DOUBLE * greatest(src_w, src_h)::DOUBLE END AS f FROM fs),
-  sq AS (SELECT *, CASE WHEN bx * bx + bye * bye + bz * bz * f >= 1e-12 THEN (ax * ax + ay * ay + az * az * f) / (bx * bx + bye * bye + bz * bz * f) END AS s FROM ff),
-  ratios AS (SELECT *, CASE WHEN s > 0 AND isfinite(s) THEN sqrt(s) END AS ratio FROM sq)"""
+RATIO = f"""centred AS MATERIALIZED (SELECT *, {", ".join(f"x{k} - src_w * 0.5::DOUBLE AS p{k}, y{k} - src_h * 0.5::DOUBLE AS q{k}" for k in range(4))} FROM measured),
+  dets AS MATERIALIZED (SELECT *, {_det("1", "3", "2")} AS d2, {_det("3", "1", "2")} AS d3, {_det("0", "3", "2")} AS n2, {_det("0", "1", "2")} AS n3 FROM centred),
+  ks AS MATERIALIZED (SELECT *, CASE WHEN abs(d2) >= 1e-9 AND abs(d3) >= 1e-9 THEN n2 / d2 END AS k2, CASE WHEN abs(d2) >= 1e-9 AND abs(d3) >= 1e-9 THEN n3 / d3 END AS k3 FROM dets),
+  ns AS MATERIALIZED (SELECT *, k2 * p1 - p0 AS ax, k2 * q1 - q0 AS ay, k2 - 1 AS az, k3 * p3 - p0 AS bx, k3 * q3 - q0 AS bye, k3 - 1 AS bz FROM ks),
+  fs AS MATERIALIZED (SELECT *, CASE WHEN abs(az) >= 1e-6 AND abs(bz) >= 1e-6 THEN -(ax * bx + ay * bye) / (az * bz) END AS f0 FROM ns),
+  ff AS MATERIALIZED (SELECT *, CASE WHEN k2 IS NULL OR abs(az) < 1e-6 OR abs(bz) < 1e-6 THEN NULL WHEN f0 > 0 AND isfinite(f0) THEN f0 ELSE greatest(src_w, src_h)::DOUBLE * greatest(src_w, src_h)::DOUBLE END AS f FROM fs),
+  sq AS MATERIALIZED (SELECT *, CASE WHEN bx * bx + bye * bye + bz * bz * f >= 1e-12 THEN (ax * ax + ay * ay + az * az * f) / (bx * bx + bye * bye + bz * bz * f) END AS s FROM ff),
+  ratios AS MATERIALIZED (SELECT *, CASE WHEN s > 0 AND isfinite(s) THEN sqrt(s) END AS ratio FROM sq)"""
 _PROJ = [
     f"CASE WHEN longest < 1 THEN 1 WHEN ratio BETWEEN 0.01 AND 100 THEN greatest(1, CASE WHEN wide THEN {_round('longest')} ELSE {_round('longest * ratio')} END) + 1 ELSE old_w END::INTEGER",
     f"CASE WHEN longest < 1 THEN 1 WHEN ratio BETWEEN 0.01 AND 100 THEN greatest(1, CASE WHEN wide THEN {_round('longest / ratio')} ELSE {_round('longest')} END) + 1 ELSE old_h END::INTEGER",
@@ -150,9 +170,9 @@ def _ordered(source: str, key: str) -> str:
     """CTE `ord4`: corners by angle from the least sum."""
     corners = " UNION ALL ".join(f"SELECT *, {k} AS k, x{k} AS px, y{k} AS py FROM {source}" for k in range(4))
     return f"""pts AS ({corners}),
-  around AS (SELECT *, round(atan2(py - (y0 + y1 + y2 + y3) / 4, px - (x0 + x1 + x2 + x3) / 4), 9) AS a FROM pts),
-  num AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY a, k, px, py) - 1 AS i FROM around),
-  st AS (SELECT *, first_value(i) OVER (PARTITION BY {key} ORDER BY px + py, i) AS s FROM num),
+  around AS MATERIALIZED (SELECT *, round(atan2(py - (y0 + y1 + y2 + y3) / 4, px - (x0 + x1 + x2 + x3) / 4), 9) AS a FROM pts),
+  num AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY a, k, px, py) - 1 AS i FROM around),
+  st AS MATERIALIZED (SELECT *, first_value(i) OVER (PARTITION BY {key} ORDER BY px + py, i) AS s FROM num),
   ord4 AS (SELECT {key}, {", ".join(f"max(CASE WHEN (i - s + 4) % 4 = {k} THEN p{c} END) AS {c}{k}" for k in range(4) for c in "xy")} FROM st GROUP BY {key})"""
 
 
@@ -207,10 +227,10 @@ def _edge_translate() -> str:
     nx, ny, _ = _normal(1)
     moved = ", ".join(f"{c}{k} + {f'd * n{c}' if k in (1, 2) else '0.0::DOUBLE'} AS m{c}{k}" for k in range(4) for c in "xy")
     out = ", ".join(f"CASE WHEN applied THEN m{c}{k} ELSE {c}{k} END AS {c}{k}" for k in range(4) for c in "xy")
-    return f"""WITH {QUADS}, n AS (SELECT *, {nx} AS nx, {ny} AS ny FROM quads),
-  ds AS (SELECT *, (760.0::DOUBLE - (x1 + x2) / 2) * nx + (480.0::DOUBLE - (y1 + y2) / 2) * ny AS d FROM n),
-  m AS (SELECT *, {moved} FROM ds),
-  a AS (SELECT *, {_valid("mx", "my")} AND (0.5::DOUBLE * {_area2("mx", "my")}) * (0.5::DOUBLE * {_area2()}) > 0 AS applied FROM m)
+    return f"""WITH {QUADS}, n AS MATERIALIZED (SELECT *, {nx} AS nx, {ny} AS ny FROM quads),
+  ds AS MATERIALIZED (SELECT *, (760.0::DOUBLE - (x1 + x2) / 2) * nx + (480.0::DOUBLE - (y1 + y2) / 2) * ny AS d FROM n),
+  m AS MATERIALIZED (SELECT *, {moved} FROM ds),
+  a AS MATERIALIZED (SELECT *, {_valid("mx", "my")} AND (0.5::DOUBLE * {_area2("mx", "my")}) * (0.5::DOUBLE * {_area2()}) > 0 AS applied FROM m)
 SELECT quad_id, applied, {out} FROM a"""
 
 
@@ -226,7 +246,7 @@ def _snap_fold() -> str:
     # corners: 0 (0, 0), 1 (490, 0), 2 the moving one, 3 (0, 500); the cross products at edges 0-1-2, 1-2-3, 2-3-0, 3-0-1
     up = " AND ".join(f"{t} > 0" for t in turns("x2", "y2"))
     down = " AND ".join(f"{t} < 0" for t in turns("x2", "y2"))
-    return f"""WITH RECURSIVE {MOVES}, seqs AS (SELECT *, row_number() OVER (PARTITION BY gesture_id ORDER BY seq) AS n FROM moves),
+    return f"""WITH RECURSIVE {MOVES}, seqs AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY gesture_id ORDER BY seq) AS n FROM moves),
   m AS (SELECT gesture_id, n, {mx} AS mx, {my} AS my, {_delta(490.0, 0.0, mx, my, "90.0::DOUBLE")} AS dp, {_delta(0.0, 500.0, mx, my, "90.0::DOUBLE")} AS dn,
         abs({mx} - 490) >= abs({my} - 0) AS lp, abs({mx} - 0) >= abs({my} - 500) AS ln FROM seqs m),
   fold AS (
@@ -259,9 +279,9 @@ def _hough() -> str:
         den, x, y = _meet(a, b)
         dens.append(f"abs({den}) >= 1e-10")
         cols += [f"least(greatest({x}, 0.0::DOUBLE), 800.0::DOUBLE) AS x{k}", f"least(greatest({y}, 0.0::DOUBLE), 1000.0::DOUBLE) AS y{k}"]
-    return f"""WITH {SEGMENTS}, ang AS (SELECT *, {LINE_ANGLE} AS a FROM segs), kinds AS (SELECT *, {KIND} AS kind FROM ang),
-  mid AS (SELECT *, CASE kind WHEN 'level' THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS pos FROM kinds),
-  rk AS (SELECT *, row_number() OVER (PARTITION BY img_id, kind ORDER BY pos, ord) AS lo, row_number() OVER (PARTITION BY img_id, kind ORDER BY pos DESC, ord DESC) AS hi FROM mid),
+    return f"""WITH {SEGMENTS}, ang AS MATERIALIZED (SELECT *, {LINE_ANGLE} AS a FROM segs), kinds AS MATERIALIZED (SELECT *, {KIND} AS kind FROM ang),
+  mid AS MATERIALIZED (SELECT *, CASE kind WHEN 'level' THEN (y1 + y2) / 2 ELSE (x1 + x2) / 2 END AS pos FROM kinds),
+  rk AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY img_id, kind ORDER BY pos, ord) AS lo, row_number() OVER (PARTITION BY img_id, kind ORDER BY pos DESC, ord DESC) AS hi FROM mid),
   four AS (SELECT t.img_id, {", ".join(cols)} FROM rk t JOIN rk b ON b.img_id = t.img_id AND t.kind = 'level' AND t.lo = 1 AND b.kind = 'level' AND b.hi = 1 AND b.ord <> t.ord
     JOIN rk l ON l.img_id = t.img_id AND l.kind = 'upright' AND l.lo = 1 JOIN rk r ON r.img_id = t.img_id AND r.kind = 'upright' AND r.hi = 1 AND r.ord <> l.ord WHERE {" AND ".join(dens)}),
   {_ordered("four", "img_id")}
@@ -270,10 +290,10 @@ SELECT img_id, {", ".join(f"round({c}{k}, 6) AS {c}{k}" for k in range(4) for c
 
 def _best_quad() -> str:
     aspect = f"((({_dist(2, 1)} + {_dist(0, 3)}) / 2) / (({_dist(1, 0)} + {_dist(3, 2)}) / 2 + 1e-9::DOUBLE))"
-    return f"""WITH {QUADS}, big AS (SELECT *, abs({_area2()}) / 2 AS area FROM quads WHERE abs({_area2()}) / 2 >= 800000::DOUBLE * 0.08::DOUBLE AND {_convex()}),
+    return f"""WITH {QUADS}, big AS MATERIALIZED (SELECT *, abs({_area2()}) / 2 AS area FROM quads WHERE abs({_area2()}) / 2 >= 800000::DOUBLE * 0.08::DOUBLE AND {_convex()}),
   {_ordered("big", "quad_id")},
   sc AS (SELECT o.*, b.area, {RECT} AS rect FROM (SELECT * FROM ord4) o JOIN (SELECT quad_id, area FROM big) b USING (quad_id)),
-  ok AS (SELECT *, round(0.6::DOUBLE * area / 800000::DOUBLE + 0.4::DOUBLE * rect / 120.0::DOUBLE, 9) AS score FROM sc WHERE rect >= 0 AND {aspect} > 0.5 AND {aspect} < 2.5)
+  ok AS MATERIALIZED (SELECT *, round(0.6::DOUBLE * area / 800000::DOUBLE + 0.4::DOUBLE * rect / 120.0::DOUBLE, 9) AS score FROM sc WHERE rect >= 0 AND {aspect} > 0.5 AND {aspect} < 2.5)
 SELECT quad_id // 8 AS img_id, quad_id % 8 AS ord, score, {COLS} FROM ok QUALIFY row_number() OVER (PARTITION BY quad_id // 8 ORDER BY score DESC, quad_id % 8) = 1"""
 
 
@@ -281,7 +301,7 @@ DAY = "strftime(make_timestamp(timestamp * 1000), '%b %-d, %Y')"
 EXPORTS = f"""{PAGES}, ex AS (
   SELECT doc_id, pos, CASE doc_id % 3 WHEN 0 THEN 'both' WHEN 1 THEN 'pdf' ELSE 'jpg' END AS format, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n,
          count(*) OVER (PARTITION BY doc_id) AS pages, 'scan_' || strftime(make_timestamp((1704067200000 + doc_id * 1000) * 1000), '%Y%m%d_%H%M%S') AS base FROM pages),
-  named AS (SELECT *, CASE WHEN pages = 1 THEN base || '.jpg' ELSE base || '_p' || n || '.jpg' END AS name FROM ex),
+  named AS MATERIALIZED (SELECT *, CASE WHEN pages = 1 THEN base || '.jpg' ELSE base || '_p' || n || '.jpg' END AS name FROM ex),
   files AS (SELECT DISTINCT doc_id, 0 AS seq, base || '.pdf' AS name, 'pdf' AS kind FROM named WHERE format <> 'jpg'
     UNION ALL SELECT doc_id, n::INTEGER, name, 'jpg' FROM named WHERE format <> 'pdf')"""
 _FMT = "CASE l_partkey % 4 WHEN 0 THEN 'FIT_TO_IMAGE' WHEN 1 THEN 'A4' WHEN 2 THEN 'US_LETTER' ELSE 'LEGAL' END"
@@ -298,12 +318,12 @@ def _layout() -> str:
     s = "least((budget_w::FLOAT / w::FLOAT)::FLOAT, (budget_h::FLOAT / h::FLOAT)::FLOAT)"
     side = lambda c: f"CASE WHEN w <= budget_w AND h <= budget_h THEN {c} ELSE greatest(1, trunc({c}::FLOAT * {s})) END::INTEGER"
     aspect = "(box_w::FLOAT / box_h::FLOAT)"
-    return f"""WITH {RASTER}, f AS (SELECT *, {_FMT} AS page_format, {_DPI} AS dpi FROM raster), b AS (SELECT *, {_budget("w")} AS budget_w, {_budget("h")} AS budget_h FROM f),
-  x AS (SELECT *, {side("w")} AS box_w, {side("h")} AS box_h FROM b),
-  p AS (SELECT *, CASE page_format WHEN 'A4' THEN 595 WHEN 'US_LETTER' THEN 612 WHEN 'LEGAL' THEN 612 ELSE CASE WHEN {aspect} >= 1 THEN 842::FLOAT ELSE 842::FLOAT * {aspect} END END::FLOAT::DOUBLE AS pw,
+    return f"""WITH {RASTER}, f AS MATERIALIZED (SELECT *, {_FMT} AS page_format, {_DPI} AS dpi FROM raster), b AS MATERIALIZED (SELECT *, {_budget("w")} AS budget_w, {_budget("h")} AS budget_h FROM f),
+  x AS MATERIALIZED (SELECT *, {side("w")} AS box_w, {side("h")} AS box_h FROM b),
+  p AS MATERIALIZED (SELECT *, CASE page_format WHEN 'A4' THEN 595 WHEN 'US_LETTER' THEN 612 WHEN 'LEGAL' THEN 612 ELSE CASE WHEN {aspect} >= 1 THEN 842::FLOAT ELSE 842::FLOAT * {aspect} END END::FLOAT::DOUBLE AS pw,
         CASE page_format WHEN 'A4' THEN 842 WHEN 'US_LETTER' THEN 792 WHEN 'LEGAL' THEN 1008 ELSE CASE WHEN {aspect} >= 1 THEN 842::FLOAT / {aspect} ELSE 842::FLOAT END END::FLOAT::DOUBLE AS ph FROM x),
-  q AS (SELECT *, CASE WHEN page_format <> 'FIT_TO_IMAGE' AND box_w > box_h THEN ph ELSE pw END AS page_w, CASE WHEN page_format <> 'FIT_TO_IMAGE' AND box_w > box_h THEN pw ELSE ph END AS page_h FROM p),
-  z AS (SELECT *, least(page_w / box_w, page_h / box_h) * CASE WHEN page_format <> 'FIT_TO_IMAGE' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS s FROM q)
+  q AS MATERIALIZED (SELECT *, CASE WHEN page_format <> 'FIT_TO_IMAGE' AND box_w > box_h THEN ph ELSE pw END AS page_w, CASE WHEN page_format <> 'FIT_TO_IMAGE' AND box_w > box_h THEN pw ELSE ph END AS page_h FROM p),
+  z AS MATERIALIZED (SELECT *, least(page_w / box_w, page_h / box_h) * CASE WHEN page_format <> 'FIT_TO_IMAGE' THEN 0.95::DOUBLE ELSE 1.0::DOUBLE END AS s FROM q)
 SELECT {KEYS}, box_w, box_h, floor(page_w)::INTEGER AS page_w, floor(page_h)::INTEGER AS page_h, round((page_w - box_w * s) / 2, 6) AS left, round((page_h - box_h * s) / 2, 6) AS top,
        round((page_w + box_w * s) / 2, 6) AS right, round((page_h + box_h * s) / 2, 6) AS bottom FROM z"""
 
@@ -353,7 +373,7 @@ def sql() -> dict[str, str]:
         "settings_defaults": """SELECT * FROM (VALUES ('defaultFilter', 'original'), ('format', 'pdf'), ('theme', 'system'), ('inboxEnabled', 'false'), ('inboxUri', ''), ('accessibilityEnabled', 'false'),
           ('jpegQuality', '80'), ('jpegColor', 'true'), ('pageFormat', 'FIT_TO_IMAGE'), ('pdfQuality', 'STANDARD')) t(key, value)""",
         "page_move": f"WITH {PAGES} SELECT doc_id, CASE WHEN count(*) OVER (PARTITION BY doc_id) > 2 THEN CASE pos WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE pos END ELSE pos END::INTEGER AS pos FROM pages",
-        "page_remove": f"WITH {PAGES}, n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM pages) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS pos, pos AS was FROM n WHERE pos <> 0 OR n = 1",
+        "page_remove": f"WITH {PAGES}, n AS MATERIALIZED (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM pages) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER AS pos, pos AS was FROM n WHERE pos <> 0 OR n = 1",
         "page_append": f"""WITH {PAGES}, l AS (SELECT doc_id, max(pos) + 1 AS n FROM pages GROUP BY ALL) SELECT doc_id, pos FROM pages
           UNION ALL SELECT doc_id, (n + row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1)::INTEGER FROM pages JOIN l USING (doc_id) WHERE pos < 2""",
         "page_labels": f"WITH {PAGES} SELECT doc_id, pos, 'Page ' || row_number() OVER (PARTITION BY doc_id ORDER BY pos) || ' of ' || count(*) OVER (PARTITION BY doc_id) AS label FROM pages",
@@ -362,15 +382,15 @@ def sql() -> dict[str, str]:
         "page_selection": f"WITH {PAGES} SELECT doc_id, least(4, greatest(0, CASE WHEN count(*) > 1 THEN count(*) - 2 ELSE 0 END))::INTEGER AS selected FROM pages GROUP BY ALL",
         "page_clear": f"WITH {PAGES} SELECT doc_id, pos FROM pages WHERE false",
         "fit_max": f"WITH {RASTER} SELECT {KEYS}, CASE WHEN greatest(w, h) <= 2400 THEN w ELSE trunc(w::FLOAT * (2400::FLOAT / greatest(w, h)::FLOAT)) END::INTEGER AS fit_w, CASE WHEN greatest(w, h) <= 2400 THEN h ELSE trunc(h::FLOAT * (2400::FLOAT / greatest(w, h)::FLOAT)) END::INTEGER AS fit_h FROM raster",
-        "fit_box": f"""WITH {RASTER}, s AS (SELECT *, least(1240::FLOAT / w::FLOAT, 1753::FLOAT / h::FLOAT) AS s, w <= 1240 AND h <= 1753 AS inside FROM raster)
+        "fit_box": f"""WITH {RASTER}, s AS MATERIALIZED (SELECT *, least(1240::FLOAT / w::FLOAT, 1753::FLOAT / h::FLOAT) AS s, w <= 1240 AND h <= 1753 AS inside FROM raster)
           SELECT {KEYS}, CASE WHEN inside THEN w ELSE greatest(1, trunc(w::FLOAT * s)) END::INTEGER AS box_w, CASE WHEN inside THEN h ELSE greatest(1, trunc(h::FLOAT * s)) END::INTEGER AS box_h FROM s""",
         "sample_factor": f"WITH {RASTER} SELECT {KEYS}, (CASE " + " ".join(f"WHEN greatest(w, h) // {1 << k} <= 600 THEN {1 << k}" for k in range(24)) + " END)::INTEGER AS sample FROM raster",
-        "pdf_render_size": f"WITH {RASTER}, s AS (SELECT *, least(8.0::DOUBLE, greatest(0.1::DOUBLE, 2200.0::DOUBLE / greatest(w, h))) AS s FROM raster) SELECT {KEYS}, greatest(1, trunc(w * s))::INTEGER AS render_w, greatest(1, trunc(h * s))::INTEGER AS render_h FROM s",
-        "letterbox": f"""WITH {RASTER}, s AS (SELECT *, least(1080.0::DOUBLE / w, 1920.0::DOUBLE / h) AS s FROM raster)
+        "pdf_render_size": f"WITH {RASTER}, s AS MATERIALIZED (SELECT *, least(8.0::DOUBLE, greatest(0.1::DOUBLE, 2200.0::DOUBLE / greatest(w, h))) AS s FROM raster) SELECT {KEYS}, greatest(1, trunc(w * s))::INTEGER AS render_w, greatest(1, trunc(h * s))::INTEGER AS render_h FROM s",
+        "letterbox": f"""WITH {RASTER}, s AS MATERIALIZED (SELECT *, least(1080.0::DOUBLE / w, 1920.0::DOUBLE / h) AS s FROM raster)
           SELECT {KEYS}, (1080 - w * s) / 2 AS left, (1920 - h * s) / 2 AS top, (1080 + w * s) / 2 AS right, (1920 + h * s) / 2 AS bottom FROM s""",
         "rotate_90": f"WITH {GRAY} SELECT img_id, x AS y, (7 - y)::INTEGER AS x, lum FROM gray",
         "crop_rect": f"WITH {GRAY} SELECT img_id, (y - 3)::INTEGER AS y, (x - 2)::INTEGER AS x, lum FROM gray WHERE x >= 2 AND y BETWEEN 3 AND 6",
-        "bounding_rect": f"""WITH {QUADS}, a AS (SELECT *, least(greatest(trunc(least(x0, x1, x2, x3))::INTEGER, 0), src_w - 1) AS l, least(greatest(trunc(least(y0, y1, y2, y3))::INTEGER, 0), src_h - 1) AS t FROM quads)
+        "bounding_rect": f"""WITH {QUADS}, a AS MATERIALIZED (SELECT *, least(greatest(trunc(least(x0, x1, x2, x3))::INTEGER, 0), src_w - 1) AS l, least(greatest(trunc(least(y0, y1, y2, y3))::INTEGER, 0), src_h - 1) AS t FROM quads)
           SELECT quad_id, l AS left, t AS top, least(greatest(trunc(greatest(0, x0, x1, x2, x3))::INTEGER, l + 1), src_w) AS right, least(greatest(trunc(greatest(0, y0, y1, y2, y3))::INTEGER, t + 1), src_h) AS bottom FROM a""",
         "warp_nearest": f"WITH {GRAY} SELECT img_id, (y // 2)::INTEGER AS y, (x // 2)::INTEGER AS x, lum FROM gray WHERE y % 2 = 1 AND x % 2 = 1",
         "quad_area": f"WITH {QUADS} SELECT quad_id, 0.5::DOUBLE * {_area2()} AS area, abs(0.5::DOUBLE * {_area2()}) / (src_w * src_h) >= 0.02 AS large_enough FROM quads",
@@ -378,16 +398,16 @@ def sql() -> dict[str, str]:
         "quad_normals": f"WITH {QUADS} SELECT quad_id, " + ", ".join(f"{_normal(k)[i]} AS n{'xy'[i]}{k}" for k in range(4) for i in range(2)) + " FROM quads",
         "edge_translate": _edge_translate(),
         "edge_hit": _edge_hit(),
-        "axis_snap_flags": f"""WITH {MOVES}, d AS (SELECT *, {_delta(0.0, 500.0, "x", "y", "NULL")} AS a FROM moves),
-          f AS (SELECT *, CASE WHEN a IS NULL OR a > 3 THEN false WHEN a <= 1.5 THEN true END AS s FROM d)
+        "axis_snap_flags": f"""WITH {MOVES}, d AS MATERIALIZED (SELECT *, {_delta(0.0, 500.0, "x", "y", "NULL")} AS a FROM moves),
+          f AS MATERIALIZED (SELECT *, CASE WHEN a IS NULL OR a > 3 THEN false WHEN a <= 1.5 THEN true END AS s FROM d)
           SELECT gesture_id, seq, coalesce(last_value(s IGNORE NULLS) OVER (PARTITION BY gesture_id ORDER BY seq), false) AS snapped FROM f""",
         "snap_fold": _snap_fold(),
         "warp_projective": f"WITH {QUADS}, {MEASURED}, {RATIO} SELECT quad_id, {_PROJ[0]} AS out_w, {_PROJ[1]} AS out_h FROM ratios",
         "warp_ratio": f"WITH {QUADS}, {MEASURED}, {RATIO} SELECT quad_id, round(ratio, 9) AS ratio FROM ratios",
         "warp_heuristic": f"WITH {QUADS}, {MEASURED} SELECT quad_id, old_w AS out_w, old_h AS out_h FROM measured",
         "warp_fixed": f"WITH {QUADS}, {MEASURED} SELECT quad_id, {k1} AS out_w, {k2} AS out_h FROM measured",
-        "warp_mode": f"""WITH {QUADS}, {MEASURED}, {RATIO}, c AS (SELECT *, CASE quad_id % 7 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'ORIGINAL' WHEN 2 THEN 'CUSTOM' WHEN 3 THEN 'A4' WHEN 4 THEN 'US_LETTER' WHEN 5 THEN 'LEGAL' ELSE 'NONE' END AS choice,
-            CASE WHEN quad_id % 2 = 0 THEN '0,5' ELSE 'x' END AS custom FROM ratios), f AS (SELECT *, {mode_ratio} AS fr FROM c)
+        "warp_mode": f"""WITH {QUADS}, {MEASURED}, {RATIO}, c AS MATERIALIZED (SELECT *, CASE quad_id % 7 WHEN 0 THEN 'AUTO' WHEN 1 THEN 'ORIGINAL' WHEN 2 THEN 'CUSTOM' WHEN 3 THEN 'A4' WHEN 4 THEN 'US_LETTER' WHEN 5 THEN 'LEGAL' ELSE 'NONE' END AS choice,
+            CASE WHEN quad_id % 2 = 0 THEN '0,5' ELSE 'x' END AS custom FROM ratios), f AS MATERIALIZED (SELECT *, {mode_ratio} AS fr FROM c)
           SELECT quad_id, choice, CASE choice WHEN 'AUTO' THEN {_PROJ[0]} WHEN 'ORIGINAL' THEN old_w ELSE {fw} END AS out_w, CASE choice WHEN 'AUTO' THEN {_PROJ[1]} WHEN 'ORIGINAL' THEN old_h ELSE {fh} END AS out_h FROM f""",
         "corner_order": f"WITH {QUADS}, sw AS (SELECT quad_id, x2 AS x0, y2 AS y0, x1, y1, x0 AS x2, y0 AS y2, x3, y3 FROM quads), {_ordered('sw', 'quad_id')} SELECT quad_id, {COLS} FROM ord4",
         "rect_score": f"WITH {QUADS}, {_ordered('quads', 'quad_id')} SELECT quad_id, {RECT} AS rect, NOT {_angles(28.0, 152.0)} AS bad_angle, abs({_area2()}) / 2 AS area FROM ord4",
@@ -395,7 +415,7 @@ def sql() -> dict[str, str]:
         "hough_quad": _hough(),
         "line_intersection": f"""WITH {SEGMENTS}, p AS (SELECT a.img_id, a.ord // 2 AS pair, CASE WHEN abs({_meet("a", "b")[0]}) >= 1e-10 THEN {_meet("a", "b")[1]} END AS x, CASE WHEN abs({_meet("a", "b")[0]}) >= 1e-10 THEN {_meet("a", "b")[2]} END AS y
           FROM segs a JOIN segs b ON a.img_id = b.img_id AND a.ord % 2 = 0 AND b.ord = a.ord + 1) SELECT img_id, pair::INTEGER AS pair, round(x, 6) AS x, round(y, 6) AS y FROM p""",
-        "line_kinds": f"WITH {SEGMENTS}, ang AS (SELECT *, {LINE_ANGLE} AS a FROM segs) SELECT img_id, ord, {KIND} AS kind FROM ang",
+        "line_kinds": f"WITH {SEGMENTS}, ang AS MATERIALIZED (SELECT *, {LINE_ANGLE} AS a FROM segs) SELECT img_id, ord, {KIND} AS kind FROM ang",
         "pdf_pixel_budget": f"WITH f AS (SELECT DISTINCT {_FMT} AS page_format, {_DPI} AS dpi FROM lineitem) SELECT page_format, dpi, {_budget('w')} AS budget_w, {_budget('h')} AS budget_h FROM f",
         "pdf_page_layout": _layout(),
         "export_names": f"WITH {EXPORTS} SELECT doc_id, pos, name FROM named",
@@ -407,12 +427,12 @@ def sql() -> dict[str, str]:
         "scalar_functions": f"""WITH {REGISTRY} SELECT id, title AS base_name, '1,' || id AS kept, ('1.' || id)::DOUBLE AS ratio, true AS blank, strftime(make_timestamp(timestamp * 1000), '%Y%m%d_%H%M%S') AS stamp,
           (((id * -7.5::DOUBLE) % 180) + 180) % 180 AS angle, least(greatest(id, 5), 90) AS clamped, (1 - id)::INTEGER AS rounded, CASE id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE id % 2 = 0 END AS dark FROM reg""",
     }
-    out["grayscale_copy"] = f"WITH {RGB}, g AS (SELECT *, least(255, greatest(0, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)))::INTEGER AS v FROM rgb) SELECT img_id, y, x, v AS r, v AS g, v AS b FROM g"
+    out["grayscale_copy"] = f"WITH {RGB}, g AS MATERIALIZED (SELECT *, least(255, greatest(0, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)))::INTEGER AS v FROM rgb) SELECT img_id, y, x, v AS r, v AS g, v AS b FROM g"
     out["export_bw"] = f"""WITH {RGB}, c AS ({_colours(RECIPES["sepia"])}), d AS ({_colours(RECIPES["gray"], "c")}), l AS (SELECT img_id, y, x, {LUMA} AS lum FROM d), {_otsu("l")},
           o AS (SELECT img_id, y, x, CASE WHEN lum <= threshold THEN 0 ELSE 255 END AS v FROM l JOIN otsu USING (img_id)) SELECT img_id, y, x, v AS r, v AS g, v AS b FROM o"""
     out["page_rotate"] = f"WITH {PAGES}, s AS (SELECT doc_id, pos, (doc_id % 7 + 1)::INTEGER AS w, (pos + 20)::INTEGER AS h FROM pages) SELECT doc_id, pos, CASE WHEN pos = 1 THEN h ELSE w END AS w, CASE WHEN pos = 1 THEN w ELSE h END AS h FROM s"
     out["page_select"] = f"WITH {PAGES} SELECT doc_id, CASE WHEN max(pos) >= 3 THEN 3 ELSE 0 END::INTEGER AS selected FROM pages GROUP BY ALL"
-    out["min_text_size"] = f"""WITH {RASTER}, s AS (SELECT *, least(2.0::DOUBLE, 1800.0::DOUBLE / greatest(w, h)) AS s FROM raster)
+    out["min_text_size"] = f"""WITH {RASTER}, s AS MATERIALIZED (SELECT *, least(2.0::DOUBLE, 1800.0::DOUBLE / greatest(w, h)) AS s FROM raster)
           SELECT {KEYS}, CASE WHEN greatest(w, h) >= 1800 THEN w ELSE greatest(1, trunc(w * s)) END::INTEGER AS text_w, CASE WHEN greatest(w, h) >= 1800 THEN h ELSE greatest(1, trunc(h * s)) END::INTEGER AS text_h FROM s"""
-    out["apply_crop"] = out["warp_mode"] + f" WHERE choice <> 'CUSTOM' AND abs(0.5::DOUBLE * {_area2()}) / (src_w * src_h) >= 0.02"
+    out["apply_crop"] = out["warp_mode"] + f" WHERE abs(0.5::DOUBLE * {_area2()}) / (src_w * src_h) >= 0.02"
     return out | {f"filter_{k}": f"WITH {RGB} {_colours(v)}" for k, v in RECIPES.items()}

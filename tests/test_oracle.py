@@ -2,6 +2,7 @@
 
 import glob
 import os
+import threading
 
 import duckdb
 import pandas as pd
@@ -27,8 +28,13 @@ def test_every_query_has_sql_or_is_a_kernel():
 
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, sf_dir, duck, name):
-    got, want = QUERIES[name](spark, sf_dir).toPandas(), duck.execute(SQL[name]).df()
+    """Values and types; the SQL under a limit on rows, which makes the engine plan some joins otherwise."""
+    got = QUERIES[name](spark, sf_dir).toPandas()
+    stop = threading.Timer(20, duck.interrupt)
+    stop.start()
+    want = duck.execute(f"SELECT * FROM ({SQL[name]}) LIMIT 10000000").df()
+    stop.cancel()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     got, want = (x[columns].sort_values(columns).reset_index(drop=True) for x in (got, want))
-    pd.testing.assert_frame_equal(got, want, check_dtype=False, check_exact=True)
+    pd.testing.assert_frame_equal(got, want, check_dtype=len(want) > 0, check_exact=True)
