@@ -21,9 +21,8 @@ import hashlib
 import re
 import sys
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass, field
-from itertools import repeat
 from math import log, sqrt
 
 import numpy as np
@@ -44,6 +43,7 @@ LEAST_Z, LEAST_LIFT = 6.0, 10.0  # of a telling term: deviations from chance (of
 TELLING = 6.0  # times the weight of another term of its frequency
 STEM = 5
 CUTOFF = 0.3
+KNOWN, NO_STEM = 300_000, (1 << 32) - 1  # words that a worker remembers; no beginning
 _WORD = re.compile(r"\w+")
 
 
@@ -58,6 +58,41 @@ def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
 
 
+class Lexicon(dict):
+    """The numbers of a word and of its beginning, word << 32 | beginning, remembered for up to KNOWN words.
+
+    numbers: of the terms that examples have. All other words share the number len(numbers); a beginning that no
+    example has gets a number of its own above that, so that it can be counted, and none is NO_STEM.
+    """
+
+    def __init__(self, numbers: dict[str, int]):
+        super().__init__()
+        self.numbers, self.others = numbers, {}
+
+    def __reduce__(self):
+        return Lexicon, (self.numbers,)
+
+    def __missing__(self, word: str) -> int:
+        stem, none = NO_STEM, len(self.numbers)
+        if len(word) > STEM:
+            begin = word[:STEM] + "-"
+            stem = self.numbers.get(begin)
+            if stem is None:
+                stem = self.others.setdefault(begin, none + 1 + len(self.others))
+        code = self[word] = self.numbers.get(word, none) << 32 | stem
+        return code
+
+    def forget(self) -> None:
+        if len(self) > KNOWN:
+            self.clear()
+            self.others.clear()
+
+    def read(self, words: Collection[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of words and of their beginnings."""
+        codes = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        return codes >> 32, codes & NO_STEM
+
+
 @dataclass
 class BlockMaxIndex:
     """The vector of example n is (term, weight)[start[n]:start[n + 1]]; the inverted index is made of these where it is used."""
@@ -104,7 +139,8 @@ class BlockMaxIndex:
     def _prepare(self) -> None:
         """Postings (at, held) of the terms of few examples, and by block the weights of the others (grid) and their largest (most)."""
         self.number, self.value = {t: n for n, t in enumerate(self.idf)}, np.array([*self.idf.values(), self.unseen])
-        self.blocks, self.ready = -(-len(self.ids) // BLOCK), True
+        self.lexicon = Lexicon(self.number)
+        self.blocks, self.ready, self.number_of = -(-len(self.ids) // BLOCK), True, np.array(self.ids, np.int64)
         if not self.ids:
             return
         at = np.repeat(np.arange(len(self.ids), dtype=np.int32), np.diff(self.start))
@@ -121,7 +157,7 @@ class BlockMaxIndex:
         self.first = np.searchsorted(self.term[rest], np.arange(len(self.idf) + 1))
 
     def nearest(self, vector: dict[str, float], k: int = NEAREST) -> list[tuple[float, int]]:
-        """(cosine, example) of the k highest cosines over 0, exactly; of equal ones, the example of the smaller number."""
+        """(cosine, example) of the k highest cosines over 0, exactly; of equal ones, the example of the smaller id."""
         if not self.ready:
             self._prepare()
         known = [(self.number[t], w) for t, w in vector.items() if t in self.number]
@@ -163,7 +199,7 @@ class BlockMaxIndex:
             p = _ranges(self.start[some], self.start[some + 1])
             exact = np.add.reduceat(dense[self.term[p]] * self.weight[p], np.cumsum(sizes) - sizes)
             dense[term] = 0
-            order = np.lexsort((some, -exact))[:k]
+            order = np.lexsort((self.number_of[some], -exact))[:k]
             out.append(list(zip(exact[order].tolist(), some[order].tolist(), strict=True)))
         return out
 
@@ -175,18 +211,24 @@ class BlockMaxIndex:
             self.seen.clear()
         keys = [hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest() if t else b"" for t in texts]
         self.seen[b""] = (self.empty_score, "")
-        fresh = list({key: t for key, t in zip(keys, texts, strict=True) if key not in self.seen}.items())
+        fresh, last = list({key: t for key, t in zip(keys, texts, strict=True) if key not in self.seen}.items()), len(self.number)
+        self.lexicon.forget()
         for first in range(0, len(fresh), AT_ONCE):
             queries, some = [], []
             for key, text in fresh[first : first + AT_ONCE]:
-                tf = Counter(terms(text))
-                if not tf:
+                words = Counter(_WORD.findall(text.lower()))
+                if not words:
                     self.seen[key] = self.seen[b""]
                     continue
-                term = np.fromiter(map(self.number.get, tf, repeat(-1)), np.int64, len(tf))
-                w = (1 + np.log(np.fromiter(tf.values(), float, len(tf)))) * self.value[term]
+                word, stem = self.lexicon.read(words)
+                n = np.fromiter(words.values(), float, len(words))
+                long = stem != NO_STEM
+                stem, which = np.unique(stem[long], return_inverse=True)
+                term = np.concatenate([word, stem])
+                w = (1 + np.log(np.concatenate([n, np.bincount(which, n[long])]))) * self.value[np.minimum(term, last)]
                 w /= sqrt(w @ w)
-                queries.append((term[term >= 0], w[term >= 0]))
+                known = term < last
+                queries.append((term[known], w[known]))
                 some.append(key)
             for key, near in zip(some, self._search(queries), strict=True):
                 self.seen[key] = self._vote(near)
@@ -240,28 +282,31 @@ def fit(docs: DataFrame, labels: DataFrame, seed: int = 5, id_col: str = "doc_id
     if not n0 + n1:
         return BlockMaxIndex({}, [], [], (1.0, 1.0), 0.0, 0.0)
     under = [Counter(t for _, k, tf in examples if k == label for t in tf) for label in (0, 1)]
-    vocabulary = docs.sparkSession.sparkContext.broadcast({t: n for n, t in enumerate(sorted(under[0].keys() | under[1].keys()))})
+    vocabulary = sorted(under[0].keys() | under[1].keys())
+    shared = docs.sparkSession.sparkContext.broadcast(Lexicon({t: n for n, t in enumerate(vocabulary)}))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """How many texts of a partition have each term of the examples; the term null counts texts."""
-        number, n = vocabulary.value, 0
-        df = np.zeros(len(number) + 1, np.int64)  # the last: of terms that no example has
+        lexicon, n = shared.value, 0
+        last = len(lexicon.numbers)
+        df = np.zeros(last + 1, np.int64)  # the last: of words that no example has
         for batch in batches:
             for _, found in pieces(batch, "text"):
-                n, at = n + len(found), []
+                n, at = n + len(found), [np.zeros(0, np.int64)]
+                lexicon.forget()
                 for text in found:
-                    here = set(_WORD.findall(text.lower()))
-                    here.update([w[:STEM] + "-" for w in here if len(w) > STEM])
-                    at += map(number.get, here, repeat(len(number)))
-                df += np.bincount(np.array(at, np.int64), minlength=len(df))
-        some = pa.array([t for t, c in zip(number, df.tolist(), strict=False) if c] + [None], pa.string())
-        yield pa.RecordBatch.from_arrays([some, pa.array([*df[:-1][df[:-1] > 0].tolist(), n], pa.int64())], ["term", "n"])
+                    word, stem = lexicon.read(set(_WORD.findall(text.lower())))
+                    at += [word, np.unique(stem[stem < last])]
+                df += np.bincount(np.concatenate(at), minlength=last + 1)
+        held = np.flatnonzero(df[:-1])
+        yield pa.RecordBatch.from_arrays([pa.array([*held.tolist(), None], pa.int64()), pa.array([*df[held].tolist(), n], pa.int64())], ["term", "n"])
 
     every = docs.where(F.col(text_col).isNotNull() & ~held_out(F.col(id_col))).select(F.col(text_col).cast("string").alias("text"))
-    counted = every.mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    counted = every.mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df = dict(zip(counted.column("term").to_pylist(), counted.column("n").to_pylist(), strict=True))
     n = df.pop(None, 0)
-    vocabulary.unpersist()
+    shared.unpersist()
+    df = {vocabulary[k]: c for k, c in df.items()}
     idf = {t: (log((1 + n) / (1 + c)) + 1e-6) * (TELLING if _telling(under[0][t], under[1][t], n0, n1) else 1.0) for t, c in sorted(df.items())}
     weight = tuple(count.get(k, 0) / max(sizes[k], 1) for k in (0, 1))
     return BlockMaxIndex.build(idf, examples, weight, log(1 + n) + 1e-6)
@@ -277,8 +322,9 @@ def _telling(b: int, a: int, n0: int, n1: int) -> bool:
 def score_documents(docs: DataFrame, index: BlockMaxIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, evidence of each row, in one pass without a shuffle.
 
-    Texts that are null or have no word score the rate of label 1 among such examples;
-    repeated rows are scored each; an empty table gives no rows; only id and text are read.
+    Texts that are null or have no word score the rate of label 1 among such examples; of equally near
+    examples those of the smaller ids vote; a text that shares no term with any example has the rate of the fold
+    and no evidence; repeated rows are scored each; an empty table gives no rows; only id and text are read.
     """
 
     shared = docs.sparkSession.sparkContext.broadcast(index)  # a worker makes the inverted index once for all its tasks

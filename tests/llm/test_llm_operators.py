@@ -407,6 +407,36 @@ def test_nearest_are_exact_among_rare_and_common_terms():
         assert np.allclose([cosines[index.ids[n]] for _, n in near], [c for c, _ in near], rtol=1e-12)
 
 
+def test_scores_equal_a_plain_vote():
+    """Term weights, cosines, ties and votes, by loops over dictionaries."""
+    rnd = random.Random(8)
+    texts = [prose(rnd, rnd.randrange(3, 40)) for _ in range(150)]
+    examples = [(1000 - i, int(i % 4 == 0), t) for i, t in enumerate(texts + texts[:20])]  # copies: equal cosines
+    df = collections.Counter(t for _, _, x in examples for t in set(toxicity.terms(x)))
+    idf = {t: float(np.log(400 / (1 + n)) + 1e-6) for t, n in sorted(df.items())}
+    thinned, unseen = (2.0, 0.5), 5.5
+    index = toxicity.BlockMaxIndex.build(idf, [(i, k, collections.Counter(toxicity.terms(x))) for i, k, x in examples], thinned, unseen)
+
+    def unit(x):
+        raw = {t: (1 + np.log(n)) * idf.get(t, unseen) for t, n in collections.Counter(toxicity.terms(x)).items()}
+        size = sum(w * w for w in raw.values()) ** 0.5
+        return {t: w / size for t, w in raw.items()}
+
+    units = [(i, k, unit(x)) for i, k, x in examples]
+    weights = [thinned[k] for _, k, _ in examples]
+    prior = sum(w for (_, k, _), w in zip(examples, weights, strict=True) if k) / sum(weights)
+    queries = [prose(rnd, 25) + rnd.choice(("", " unheard unheardof unheardofs word")) for _ in range(60)] + texts[:10] + ["zzzz qqqq", "words1 " * 300]
+    for q in queries:
+        u = unit(q)
+        near = sorted((-round(sum(w * v.get(t, 0) for t, w in u.items()), 12), i, k) for i, k, v in units)
+        near = [(-c, i, k) for c, i, k in near if c < 0][: toxicity.NEAREST]
+        closeness = [1 / (1.05 - min(c, 1.0)) for c, *_ in near]
+        vote = [len(near) * w / sum(closeness) * thinned[k] / max(thinned) for w, (_, _, k) in zip(closeness, near, strict=True)]
+        want = (prior * 0.1 + sum(v for v, (_, _, k) in zip(vote, near, strict=True) if k)) / (0.1 + sum(vote))
+        score, evidence = index.score(q)
+        assert abs(score - want) < 1e-9 and evidence == ",".join(f"{i}:{k}:{c:.3f}" for c, i, k in near[:5])
+
+
 def plain_quality(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
