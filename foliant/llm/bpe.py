@@ -25,12 +25,12 @@ from .common import pieces
 WIDEST = 64  # bytes of the widest piece that is encoded side by side with others
 KNOWN = 300_000  # pieces that a worker remembers; it forgets all when there are more
 NONE = np.int64(1) << 62
+MOST_RANK_BYTES = 64 << 20
 
 
 class ByteBpe:
-    def __init__(self, rank_file: str, pattern: str):
-        with open(rank_file, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    def __init__(self, rank_lines: bytes, pattern: str):
+        self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_lines.splitlines())}
         self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
@@ -201,9 +201,15 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def codec(rank_file: str, pattern: str) -> ByteBpe:
+def codec(rank_lines: bytes, pattern: str) -> ByteBpe:
     """One codec for each worker process; its size is that of the vocabulary."""
-    return ByteBpe(rank_file, pattern)
+    return ByteBpe(rank_lines, pattern)
+
+
+def read_ranks(rank_file: str) -> bytes:
+    """The lines of a rank file, which the driver reads; executors need not see the file."""
+    with open(rank_file, "rb") as f:
+        return f.read()
 
 
 def encode_documents(
@@ -218,9 +224,22 @@ def encode_documents(
     schema = pa.schema(fields + [pa.field("ids", pa.list_(pa.int32()))] * with_ids)
     ddl = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
+    lines = read_ranks(rank_file)
+    if len(lines) > MOST_RANK_BYTES:
+        raise ValueError(f"{rank_file} is too large to be sent to every worker")
+    shared = docs.sparkSession.sparkContext.broadcast(lines)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, sha = codec(rank_file, pattern), hashlib.sha256
+        collecting = gc.isenabled()
         gc.disable()  # millions of small tuples and no cycles: looking for cycles took a third of the time
+        try:
+            yield from encoded(batches)
+        finally:
+            if collecting:  # the worker goes on to other stages
+                gc.enable()
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, sha = codec(shared.value, pattern), hashlib.sha256
         for batch in batches:
             for first, texts in pieces(batch, "text"):
                 got = bpe.encode_batch([t or "" for t in texts])

@@ -82,8 +82,9 @@ m AS (SELECT doc_id, len(words) AS n_words, coalesce(list_sum(list_transform(wor
              len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words
       FROM w LEFT JOIN r USING (doc_id)),
 f AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END | CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END | CASE WHEN 2 * n_symbols > n_words THEN 4 ELSE 0 END
-      | CASE WHEN n_lines >= 5 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END | CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END)::INTEGER AS failed FROM m)
-SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept FROM f
+      | CASE WHEN n_lines >= 5 AND 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END | CASE WHEN word_chars > 40 * n_words THEN 16 ELSE 0 END
+      | CASE WHEN n_words >= 50 AND word_chars < 2 * n_words THEN 32 ELSE 0 END | CASE WHEN n_words >= 50 AND 2 * n_lines > n_words THEN 64 ELSE 0 END)::INTEGER AS failed FROM m)
+SELECT *, failed & 3 <> 0 AS base_failed, failed = 0 AS kept, CASE WHEN bit_count(failed) = 1 THEN failed ELSE 0 END::INTEGER AS ablated FROM f
 """
 
 OP10_SQL = """

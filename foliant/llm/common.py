@@ -15,13 +15,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage that all executors see; a temporary one only where none is set, as in tests."""
+    """The folder for cut lineage that all executors see: the one that spark.checkpoint.dir names, or the session's own.
+
+    Where none is set, a temporary one is made if one machine does all, as in tests; a cluster has to name one.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         if not spark.sparkContext.getCheckpointDir():
             spark.sparkContext.setCheckpointDir(folder)
         return folder
     if not spark.sparkContext.getCheckpointDir():
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -32,6 +38,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Removes a folder of intermediate rows, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_name(columns: list[str], wish: str) -> str:
+    """`wish`, or that with more underscores, so that no column has the name in any case of its letters."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish += "_"
+    return wish
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the fold that no model learns from: crc32 of the id's text, mod 4, is 2. A null id counts as text ''."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 4 == 2

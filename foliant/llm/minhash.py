@@ -21,11 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import cut, free_name, pieces
 from .graph import components
 
 HASHES, ROWS = 40, 4  # 20 bands: a pair at 0.85 shares none with probability (1 - 0.85 ** 4) ** 20, under 10 ** -6
-SLICE = 512
+SLICE, SLICE_SHINGLES = 512, 1 << 22  # nodes and shingles of a slice, about
 _SEED = 20_240_607
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -177,19 +177,19 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, hashes:
     signed = cut(texts.mapInArrow(sign, "doc_id long, n_shingles long, node binary, bands binary"))
     n_bands = 2 * hashes // rows
     # rows without an id link with nothing: a node of such rows only is in no cluster, and is nobody's hub
-    nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"))
+    nodes = signed.where("node IS NOT NULL AND doc_id IS NOT NULL").groupBy("node").agg(F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
     band = F.expr(f"explode(transform(sequence(0, {n_bands - 1}), i -> substring(bands, 8 * i + 1, 8)))")
-    banded = nodes.select("node", band.alias("key"))
+    banded = nodes.select("node", "size", band.alias("key"))
     # a bucket's smallest node stands for it; counting and taking the least are done before the shuffle
     buckets = banded.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
-    met = cut(banded.join(buckets, "key").select("node", "first", "n"))
+    met = cut(banded.join(buckets, "key").select("node", "first", "n", "size"))
     clusters = components(met.select(F.col("node").alias("a"), F.col("first").alias("b")))
-    weight = met.groupBy("node").agg(F.sum("n").alias("met"))
+    weight = met.groupBy("node").agg(F.sum("n").alias("met"), F.first("size").alias("size"))
     clusters = cut(clusters.join(weight, "node"))
 
-    per = clusters.groupBy("root").agg(F.count("*").alias("members"), F.max_by("node", F.struct("met", "node")).alias("hub"))
-    per = per.withColumn("slices", F.ceil(F.col("members") / SLICE))
-    members = clusters.join(per, "root").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
+    per = clusters.groupBy("root").agg(F.count("*").alias("members"), F.sum("size").alias("shingled"), F.max_by("node", F.struct("met", "node")).alias("hub"))
+    per = per.withColumn("slices", F.greatest(F.ceil(F.col("members") / SLICE), F.ceil(F.col("shingled") / SLICE_SHINGLES))).drop("shingled", "met", "size")
+    members = clusters.select("node", "root").join(per, "root").withColumn("slice", F.pmod(F.xxhash64("node"), F.col("slices")))
     # one text of each node that is in a cluster, as its set
     one = signed.join(members.select("node"), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     shingled = _sets(texts, one, width)
@@ -245,7 +245,9 @@ def _grouped(rows: DataFrame, inner: bool, percent: int) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, hashes: int = 60, id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, with all their columns, less those that are near a document with a smaller id.
 
-    Rows that share an id stay or go together; rows without an id stay.
+    Rows that share an id stay or go together; rows without an id, and rows without words, stay. An empty table
+    gives no rows; columns may have any names.
     """
-    gone = near_duplicates(docs, width, percent, hashes, id_col=id_col).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs[id_col] == F.col("_gone"), "left_anti")
+    name = free_name(docs.columns, "_gone")
+    gone = near_duplicates(docs, width, percent, hashes, id_col=id_col).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")

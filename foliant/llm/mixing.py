@@ -1,29 +1,33 @@
 """Mixing sources to target weights by pivotal dependent rounding.
 
 A source of target t and size s is to be taken t / s times over, so each of its documents gets the whole
-part of that as copies and the rest as a probability of one more. Pivotal rounding settles these: of two
-documents with open probabilities p and q, one is picked at random to take all it can of p + q (or, over 1,
-to be settled at 1), which settles at least one and keeps both expectations and the sum. What stays open
-is one residual. Documents meet neighbours of about their own size, so that words are kept near the target
-along with documents.
-
-The rounding is a reduction tree: leaves hold at most about LEAF documents of one source and size class;
-their residuals meet within the size class, and the residuals of the size classes within the source.
+part of that as copies and the rest as a probability of one more. Pivotal rounding settles these in words: of two
+documents of a and b words with open probabilities p and q, either p rises by x and q falls by x a / b, or p falls by y
+and q rises by y a / b, as far as both stay probabilities; the first with probability y / (x + y). Both expectations
+and the words of the two together stay what they are, and at least one is settled. What stays open is one residual.
+
+The rounding is a reduction tree of fan-in FAN: leaves hold about FAN documents of one source, their residuals
+meet FAN by FAN, and so on to one residual of each source, which is rounded to the nearer side. Its words are all
+that a source can miss its target by; documents are settled from the largest down, and the largest against all the
+others at once, so that it is a small one, unless the others together are too small for that.
+
+Rows alike in id, source and size are one unit with a count, so that no number of repeated rows meets in one task.
 """
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 WEIGHTS = (5, 2, 1)
-LEAF = 4096
+FAN = 4096  # documents of a leaf, and residuals that meet
 MOST = 3.0  # times a source's size, and copies of a document
+LARGEST = 64  # documents of a group that are settled against all others
+CELLS = 512  # of a source, which bring its rows its totals
 WORD = r"[ \t\n\x0B\f\r]+"
 
 
@@ -56,71 +60,126 @@ def targets(sized: DataFrame, weights=WEIGHTS) -> DataFrame:
     return per.select("_s", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
-def _draw(*words) -> float:
-    return int.from_bytes(hashlib.blake2b("|".join(map(str, words)).encode(), digest_size=7).digest(), "big") / 2**56
-
-
-def settle(group: pd.DataFrame, seed: int, level: int) -> pd.DataFrame:
-    """Pivotal rounding down the rows, largest first, so that what stays open in the end is small; at most one stays open."""
-    group = group.sort_values(["size", "_u", "doc_id"], ascending=[False, True, True], kind="stable", na_position="first").reset_index(drop=True)
-    open_, extra = group["_open"].tolist(), [0] * len(group)
-    keys = group["_u"].tolist()
+def pivot(size: np.ndarray, open_: np.ndarray, draws: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one more or not, open probability) of each document, in the order given; at most one stays open."""
+    a, p, extra = size.tolist(), open_.tolist(), [0] * len(size)
     last = -1
-    for i in range(len(open_)):
-        p = open_[i]
-        if p <= 1e-12 or p >= 1 - 1e-12:
-            extra[i], open_[i] = int(p > 0.5), 0.0
+    for i, u in enumerate(draws.tolist()):
+        if p[i] <= 1e-9 or p[i] >= 1 - 1e-9:
+            extra[i], p[i] = int(p[i] > 0.5), 0.0
             continue
-        if last < 0:
-            last = i
+        if last >= 0:
+            ratio = a[last] / a[i]  # what `last` gives, `i` takes so many times
+            up, down = min(1 - p[last], p[i] / ratio), min(p[last], (1 - p[i]) / ratio)
+            move = up if u * (up + down) < down else -down
+            p[last] += move
+            p[i] -= move * ratio
+            for k in (last, i):
+                if p[k] <= 1e-9 or p[k] >= 1 - 1e-9:
+                    extra[k], p[k] = int(p[k] > 0.5), 0.0
+            if p[last] > 0:
+                continue
+        last = i if p[i] > 0 else -1
+    return np.array(extra, np.int64), np.array(p)
+
+
+def against_the_rest(size: np.ndarray, open_: np.ndarray, extra: np.ndarray, draws: np.ndarray) -> None:
+    """Settles the largest documents, each against all smaller ones at once where these can bear it: with its own
+    probability it is taken, else left, and what that takes or leaves in words moves the others by p (1 - p) each.
+    Else a large document, which pairs move little, could stay open to the end."""
+    for i, u in enumerate(draws.tolist()):
+        a, p, q = float(size[i]), float(open_[i]), open_[i + 1 :]
+        share = q * (1 - q)
+        bear = float(share @ size[i + 1 :])
+        if not 1e-9 < p < 1 - 1e-9 or bear <= 0 or (1 - p) * a * float((1 - q[share > 0]).max()) > bear or p * a * float(q[share > 0].max()) > bear:
             continue
-        q, total, u = open_[last], open_[last] + p, _draw(seed, level, keys[last], keys[i], i)
-        if total < 1:  # one takes all, the other is settled at 0
-            winner, loser = (i, last) if u * total < p else (last, i)
-            open_[winner], open_[loser] = total, 0.0
-            last = winner
-        else:  # one is settled at 1, the other keeps the rest
-            winner, loser = (i, last) if u * (2 - total) < 1 - q else (last, i)
-            extra[winner], open_[winner], open_[loser] = 1, 0.0, total - 1
-            last = loser if total - 1 > 1e-12 else -1
-            if last < 0:
-                open_[loser] = 0.0
-    group["_open"], group["_extra"] = open_, group["_extra"] + pd.Series(extra, dtype="int64")
-    return group
+        extra[i], open_[i] = int(u < p), 0.0
+        q += (p - extra[i]) * a / bear * share
+
+
+def _settle(seed: int, level: int):
+    def run(group: pa.Table) -> pa.Table:
+        """One group of the tree, largest documents first; a source without words has nothing open."""
+        order = group.sort_by([("size", "descending"), ("_tie", "ascending")])
+        where = [seed, level, int(order.column("_lot")[0].as_py()) & 0xFFFFFFFF, order.num_rows]
+        rng, size, left = np.random.default_rng(where), order.column("size").to_numpy().astype(float), order.column("_open").to_numpy().copy()
+        done = order.column("_extra").to_numpy().copy()
+        against_the_rest(size, left, done_now := np.zeros(len(size), np.int64), rng.random(min(LARGEST, len(size) - 1)))
+        more, left = pivot(size, left, rng.random(len(size)))
+        done += more + done_now
+        return order.set_column(order.column_names.index("_open"), "_open", pa.array(left)).set_column(order.column_names.index("_extra"), "_extra", pa.array(done))
+
+    return run
+
+
+def settled(units: DataFrame, seed: int = 11, weights=WEIGHTS) -> DataFrame:
+    """The columns of units (doc_id, source, size, rows), source_size, target, and how the copies fall: each of the
+    `rows` documents alike has _whole, and _extra of them one more. The draws follow from seed, ids and sizes."""
+    rows = units.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    rows = cut(rows)  # the texts are read once
+    words = rows.select("_s", "source", (F.col("size") * F.col("rows")).alias("size"))
+    # what a unit needs to know of its source comes by way of its leaf, so that rows never meet by source alone
+    rows = rows.withColumn("_lot", F.xxhash64(F.lit(seed), "doc_id", "size"))
+    cells = rows.withColumn("_cell", F.pmod("_lot", F.lit(CELLS))).groupBy("_s", "_cell").agg(F.count("*").alias("_n"))
+    total = cells.groupBy("_s").agg(F.ceil(F.sum("_n") / FAN).alias("_leaves")).join(targets(words, weights), "_s")
+    rows = rows.withColumn("_cell", F.pmod("_lot", F.lit(CELLS))).join(cells.join(total, "_s").drop("_n"), ["_s", "_cell"]).drop("_cell")
+    copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST))).otherwise(F.lit(0.0))
+    rows = rows.withColumn("_copies", copies).withColumn("_whole", F.floor("_copies"))
+    mass = F.when(F.col("size") > 0, (F.col("_copies") - F.col("_whole")) * F.col("rows")).otherwise(F.lit(0.0))
+    rows = rows.withColumn("_mass", mass).withColumn("_extra", F.floor("_mass").cast("long")).withColumn("_open", F.col("_mass") - F.col("_extra"))
+    rows = rows.withColumn("_leaf", F.pmod(F.xxhash64("_lot"), "_leaves")).withColumn("_tie", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
+    rows = rows.drop("_copies", "_mass")
+    most = rows.agg(F.max("_leaves")).first()[0] or 1
+
+    level, done = 0, None
+    while True:
+        now = cut(rows.groupBy("_s", "_leaf").applyInArrow(_settle(seed, level), rows.schema))
+        closed = now.where("_open = 0")
+        done = closed if done is None else done.unionByName(closed)
+        rows = now.where("_open > 0")
+        if most <= 1:
+            break
+        level, most = level + 1, -(-most // FAN)
+        rows = rows.withColumn("_leaf", F.expr(f"_leaf div {FAN}"))
+    last = rows.withColumn("_extra", F.col("_extra") + F.when(F.col("_open") >= 0.5, 1).otherwise(0))
+    return done.unionByName(last).drop("_s", "_leaf", "_leaves", "_lot", "_tie", "_open")
 
 
 def mix(docs: DataFrame, seed: int = 11, weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, size, source_size, target, taken, copies of each row; taken = copies * size.
 
     Null texts have no words; a null source is a source, ordered last; a source without words has the
-    target 0. Repeated rows are documents each. An empty table gives no rows; further columns of docs
-    are not read. The draws follow from seed, ids and sizes, so reruns agree.
+    target 0. Documents without words get the whole part of their copies. Repeated rows are documents each. An
+    empty table gives no rows; further columns of docs are not read. Reruns agree.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("_s", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
-    rows = cut(rows.withColumn("_class", F.floor(4 * F.log2(F.col("size") + 1)).cast("int")))  # the texts are read once
-    # a quarter of a doubling of the size is a class; classes of many rows are dealt out by the hash. What a row
-    # needs to know of its source comes by way of its class, so that rows never meet by source alone
-    classes = rows.groupBy("_s", "_class").agg(F.ceil(F.count("*") / LEAF).alias("_leaves")).join(targets(rows, weights), "_s")
-    rows = rows.join(classes, ["_s", "_class"])
-    copies = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(MOST))).otherwise(F.lit(0.0))
-    rows = rows.withColumn("_copies", copies).withColumn("_whole", F.floor("_copies"))
-    rows = rows.withColumn("_open", F.col("_copies") - F.col("_whole")).withColumn("_extra", F.lit(0).cast("long"))
-    rows = rows.withColumn("_u", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    rows = rows.withColumn("_leaf", F.pmod("_u", "_leaves"))
-    columns = ["doc_id", "_s", "_class", "_leaf", "_u", "size", "source_size", "target", "_whole", "_open", "_extra"]
-    rows = rows.select(*columns).withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would make floats of ids beside nulls
-
-    def at(level: int):
-        return lambda group: settle(group, seed, level)
-
-    done = None
-    for level, keys in enumerate((["_s", "_class", "_leaf"], ["_s", "_class"], ["_s"])):
-        rows = cut(rows.groupBy(*keys).applyInPandas(at(level), rows.schema))
-        settled = rows.where("_open = 0")
-        done = settled if done is None else done.unionByName(settled)
-        rows = rows.where("_open > 0")
-    lot = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), "_s").cast("binary")), 1, 12), 16, 10).cast("double") / 2.0**48
-    done = done.unionByName(rows.withColumn("_extra", F.col("_extra") + F.when(lot < F.col("_open"), 1).otherwise(0)))
-    times = F.col("_whole") + F.col("_extra")
-    return done.select(F.col("doc_id").cast("long").alias("doc_id"), "size", "source_size", "target", (times * F.col("size")).cast("long").alias("taken"), times.cast("long").alias("copies"))
+    units = settled(rows.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")), seed, weights)
+    each = units.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    copies = (F.col("_whole") + F.when(F.col("_k") <= F.col("_extra"), 1).otherwise(0)).cast("long")
+    return each.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("copies"))
+
+
+def mix_rows(docs: DataFrame, seed: int = 11, weights=WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, each as often as the mix takes it.
+
+    Rows are told apart by id, source and words; of rows alike in these that are not given the same copies, the first
+    by text and then by their other columns get more. Whatever their columns are called or hold, no row is taken for
+    another. Further as in mix().
+    """
+    name = {k: free_name(docs.columns, f"_{k}") for k in ("id", "of", "words", "rows", "whole", "extra", "place", "copy", "u0", "u1", "u2")}
+    key = [F.col(id_col).cast("long").alias(name["id"]), F.col(source_col).cast("string").alias(name["of"]), word_count(F.col(text_col)).alias(name["words"])]
+    keyed = docs.select("*", *key)
+    same = [name["id"], name["of"], name["words"]]
+    units = keyed.groupBy(*same).agg(F.count("*").alias("rows")).toDF("doc_id", "source", "size", "rows")
+    units = settled(units, seed, weights).where("_whole + _extra > 0").select(*[F.col(c).alias(name[f"u{k}"]) for k, c in enumerate(("doc_id", "source", "size"))], F.col("rows").alias(name["rows"]), F.col("_whole").alias(name["whole"]), F.col("_extra").alias(name["extra"]))
+    meet = [keyed[c].eqNullSafe(units[name[f"u{k}"]]) for k, c in enumerate(same)]
+    met = keyed.join(units, meet).drop(*[units[name[f"u{k}"]] for k in range(3)])
+    rows, whole, extra, place = (F.col(name[k]) for k in ("rows", "whole", "extra", "place"))
+    # all rows of most units get the same: only where they don't are they put in an order
+    alike = met.where((extra == 0) | (extra == rows)).withColumn(name["place"], F.lit(1))
+    orderable = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text_col and f.dataType.typeName() in ("long", "integer", "string", "double", "boolean", "timestamp", "date")]
+    order = Window.partitionBy(*same).orderBy(F.col(text_col), *orderable)
+    unlike = met.where((extra > 0) & (extra < rows)).withColumn(name["place"], F.row_number().over(order))
+    times = (whole + F.when(place <= extra, 1).otherwise(0)).cast("int")
+    both = alike.unionByName(unlike).withColumn(name["copy"], F.explode(F.array_repeat(F.lit(True), times)))
+    return both.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -26,12 +26,15 @@ RULES = (
     ("symbols", "2 * n_symbols > n_words"),
     ("repeated_lines", "n_lines >= 5 AND 2 * n_dup_lines > n_lines"),
     ("long_words", "word_chars > 40 * n_words"),
+    ("short_words", "n_words >= 50 AND word_chars < 2 * n_words"),
+    ("many_lines", "n_words >= 50 AND 2 * n_lines > n_words"),
 )
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
 #: A version of the policy: the rules that drop a document.
 POLICIES = {
     "base": BIT["few_words"] | BIT["repeated_words"],
     "v1": BIT["few_words"] | BIT["repeated_words"] | BIT["symbols"] | BIT["repeated_lines"] | BIT["long_words"],
+    "v2": sum(BIT.values()),
 }
 _FIELDS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
@@ -77,7 +80,7 @@ def keeps(policy: str):
     return F.col("failed").bitwiseAND(POLICIES[policy]) == 0
 
 
-def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
+def ablations(rows: DataFrame, policy: str = "v2") -> DataFrame:
     """rule, n_failed, n_only (dropped by this rule alone: kept again without it), n_together, for each rule of
     the policy. The ledger is first counted by its masks, of which there are 2 ** len(RULES) at most."""
     mask = POLICIES[policy]
@@ -91,7 +94,10 @@ def ablations(rows: DataFrame, policy: str = "v1") -> DataFrame:
     )
 
 
-def judge(docs: DataFrame, policy: str = "v1") -> DataFrame:
-    """The ledger with base_failed and kept (not failed by the base rules, nor by the policy)."""
+def judge(docs: DataFrame, policy: str = "v2") -> DataFrame:
+    """The ledger with base_failed, kept (not failed by the base rules, nor by the policy) and ablated: the bit of the
+    one rule of the policy without which the document would be kept, else 0. Nulls and the rest are as in ledger()."""
     rows = ledger(docs)
-    return rows.withColumn("base_failed", ~keeps("base")).withColumn("kept", keeps("base") & keeps(policy))
+    mask = F.col("failed").bitwiseAND(POLICIES[policy])
+    alone = F.when(F.bit_count(mask) == 1, mask).otherwise(0)
+    return rows.withColumn("base_failed", ~keeps("base")).withColumn("kept", keeps("base") & keeps(policy)).withColumn("ablated", alone)

@@ -5,9 +5,9 @@ the fraction (r - 1/2) / n. Sorted by fraction, every stretch of rows holds the
 proportions, and cutting that order into equal stretches gives shards that match the mixture and whose
 row counts differ by one at most (law `rows`).
 
-Neither order is made by one task. A row's random order is its md5, so the first hex digits deal each
-source, however large, evenly into cells; ranks are numbered within cells and moved up by the counts of
-the cells before. Fractions are uniform by construction, so equal stretches of them are even cells too.
+Neither order is made by one task. A row's random order is an md5 of its id, size and checksum, so that rows without
+an id, or of one id, spread too; the first hex digits deal each source, however large, evenly into cells; ranks are
+numbered within cells and moved up by the counts of the cells before. Fractions are uniform by construction, so equal stretches of them are even cells too.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ def interleaved_shards(
         (F.octet_length(body).cast("long") + 1).alias("size"),
         F.crc32(body).alias("text_crc32"),
     )
-    key = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))), "UTF-8"))
+    key = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit(":"), F.col("size"), F.lit(":"), F.col("text_crc32")), "UTF-8"))
     rows = rows.withColumn("_u", key).withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     rows = cut(rows.withColumn("_cell", F.conv(F.substring("_u", 1, 3), 16, 10).cast("int")))  # the texts are read once
 

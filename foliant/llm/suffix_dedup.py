@@ -374,7 +374,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     total = docs.select(F.sum(F.octet_length(body).cast("long"))).first()[0] or 0
     chunks, buckets = max(1, -(-total // CHUNK)), max(64, -(-total // BUCKET))
     identity = docs[id_col].cast("long")
-    deal = F.pmod(F.coalesce(F.xxhash64(identity), F.lit(0)), F.lit(chunks))
+    deal = F.pmod(F.xxhash64(identity, body), F.lit(chunks))  # by the text too: rows without an id, or of one id, spread
     texts = docs.select(identity.alias("doc_id"), body.alias("body"), deal.alias("chunk"))
 
     def first(group: pa.Table) -> pa.Table:

@@ -78,3 +78,24 @@ def test_repeated_rows_are_mixed_each(spark):
     rows = [(1, "some words here", "aa", "s", 15)] * 3 + [(1, "other words", "aa", "s", 11), (None, "no id at all", "aa", "s", 12)] * 2
     out = corpus_pipeline.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), "").collect()
     assert sorted(map(str, out)) == sorted(map(str, spark.createDataFrame(rows, SCHEMA).collect()))  # one source: each once
+
+
+def test_mixing_keeps_rows_whatever_their_columns(spark):
+    """Columns with the names that the mixing uses, a map, and rows alike but for one column."""
+    rows = [(1 + i % 40, f"some words number {i % 40}", "aa", "s" if i % 3 else None, 0, {"k": i}, "mine", i, "x", -i) for i in range(160)] + [(None, None, None, None, 0, None, "mine", 7, "x", 0)] * 5
+    schema = SCHEMA + ", extra map<string, int>, _row string, _id int, _words string, _copies int"
+    df = spark.createDataFrame(rows, schema).repartition(4)
+    out = corpus_pipeline.mix_sources(spark, df, "")
+    assert out.columns == df.columns
+    got = collections.Counter(str(r) for r in out.collect())
+    before = collections.Counter(str(r) for r in df.collect())
+    assert set(got) <= set(before) and max(got[k] / before[k] for k in got) <= 3
+    again = corpus_pipeline.mix_sources(spark, df.repartition(2), "")
+    assert collections.Counter(str(r) for r in again.collect()) == got
+
+
+def test_near_duplicates_beside_clashing_columns(spark):
+    rows = [(i, "one two three four five six seven" + (" eight" if i == 3 else ""), "aa", "s", 0, "mine", "node") for i in range(4)] + [(None, None, None, None, None, None, None)]
+    df = spark.createDataFrame(rows, SCHEMA + ", _gone string, kept string")
+    left = corpus_pipeline.drop_near_duplicates(spark, df, "").collect()
+    assert {r.doc_id for r in left} == {0, 3, None} and all(r._gone == "mine" for r in left if r.doc_id is not None)
