@@ -274,6 +274,42 @@ def test_top_k(spark):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_only_rings_that_matter_are_sent(spark, monkeypatch):
+    """With lengths that differ, most pairs of slab and block are never made; results equal brute force."""
+    monkeypatch.setattr(topk, "SLAB", 16)
+    monkeypatch.setattr(topk, "RING_BYTES", 16 * 6 * 8)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    sent = {}
+    original = topk.slabs_sent
+
+    def counted(slabs, reach):
+        out = original(slabs, reach)
+        sent.update(slabs=slabs.count(), blocks=reach.agg(F.sum("parts")).first()[0], copies=out.count())
+        return out
+
+    monkeypatch.setattr(topk, "slabs_sent", counted)
+    rnd = np.random.default_rng(12)
+    rows = [(i, [float(x) for x in rnd.normal(0, 1, 6) * 2 ** rnd.uniform(-3, 4)]) for i in range(1200)]
+    got = sorted(map(tuple, topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), k=5).collect()))
+    good = [(i, np.floor(64 * np.array(v)).astype(np.int64)) for i, v in rows]
+    want = []
+    for q, v in good:
+        if q % 20 == 0:
+            s = sorted((-int((v * w).sum()), n) for n, w in good if n != q)[:5]
+            want += [(q, k + 1, n, -score) for k, (score, n) in enumerate(s)]
+    assert got == sorted(want)
+    assert sent["blocks"] >= 10 and sent["slabs"] >= 60 and sent["copies"] < 0.5 * sent["blocks"] * sent["slabs"]
+
+
+def test_vectors_travel_in_narrow_integers():
+    for most, width in ((100, 1), (1000, 2), (100_000, 4), (1 << 40, 8)):
+        v = np.array([[most, -most], [0, 1]], np.int64)
+        body = topk.packed(v)
+        ids, back = topk.unpacked(np.array([5, 6]).tobytes(), body, 2)
+        assert len(body) == 1 + 4 * width and (back == v).all() and ids.tolist() == [5, 6]
+    assert topk.unpacked(b"", topk.packed(np.zeros((0, 3), np.int64)), 3)[1].shape == (0, 3)
+
+
 def test_pruning_loses_nothing():
     rnd = np.random.default_rng(4)
     kinds = collections.Counter()
