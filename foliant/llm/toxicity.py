@@ -45,6 +45,7 @@ STEM = 5
 CUTOFF = 0.3
 KNOWN, NO_STEM = 300_000, (1 << 32) - 1  # words that a worker remembers; no beginning
 _WORD = re.compile(r"\w+")
+_POSTING = np.dtype([("at", np.int32), ("held", np.float32)])
 
 
 def terms(text: str) -> list[str]:
@@ -153,7 +154,9 @@ class BlockMaxIndex:
         self.most = np.ascontiguousarray(self.grid.max(2).T)
         rest = np.flatnonzero(~here)
         rest = rest[np.argsort(self.term[rest], kind="stable")]
-        self.at, self.held = at[rest], self.weight[rest]
+        self.postings = np.empty(len(rest), _POSTING)
+        self.postings["at"], self.postings["held"] = at[rest], self.weight[rest]
+        self.postings = self.postings.view(np.int64)  # which are gathered in one go
         self.first = np.searchsorted(self.term[rest], np.arange(len(self.idf) + 1))
 
     def nearest(self, vector: dict[str, float], k: int = NEAREST) -> list[tuple[float, int]]:
@@ -174,8 +177,8 @@ class BlockMaxIndex:
             wide[n, column[column >= 0]] = w[column >= 0]
             term, w = term[column < 0], w[column < 0]
             lo, hi = self.first[term], self.first[term + 1]
-            p = _ranges(lo, hi)
-            scores[n] = np.bincount(self.at[p], np.repeat(w, hi - lo) * self.held[p], scores.shape[1])
+            found = self.postings[_ranges(lo, hi)].view(_POSTING)
+            scores[n] = np.bincount(found["at"], np.repeat(w.astype(np.float32), hi - lo) * found["held"], scores.shape[1])
         by_block = scores.reshape(len(queries), self.blocks, BLOCK)
         bound = by_block.max(2) + wide @ self.most + SLACK
         to_visit = np.zeros(bound.shape, bool)
@@ -195,9 +198,8 @@ class BlockMaxIndex:
                 out.append([])
                 continue
             dense[term] = w
-            sizes = self.start[some + 1] - self.start[some]
-            p = _ranges(self.start[some], self.start[some + 1])
-            exact = np.add.reduceat(dense[self.term[p]] * self.weight[p], np.cumsum(sizes) - sizes)
+            ranges = zip(self.start[some].tolist(), self.start[some + 1].tolist(), strict=True)
+            exact = np.array([dense[self.term[a:b]] @ self.weight[a:b] for a, b in ranges])
             dense[term] = 0
             order = np.lexsort((self.number_of[some], -exact))[:k]
             out.append(list(zip(exact[order].tolist(), some[order].tolist(), strict=True)))
