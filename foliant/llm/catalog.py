@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, minhash, mixing, quality, secret_scan, sharding, suffix_dedup, topk, toxicity
+from . import bpe, langid, minhash, mixing, prefix_ranks, quality, secret_scan, sharding, suffix_dedup, topk, toxicity
 from .common import table
 
 
@@ -25,7 +25,7 @@ def op3_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return prefix_ranks.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op5_norm_bucket_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

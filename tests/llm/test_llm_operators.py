@@ -14,7 +14,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from foliant.llm import bpe, common, graph, langid, minhash, mixing, quality, secret_scan, sharding, suffix_dedup, topk, toxicity
+from foliant.llm import bpe, common, graph, langid, minhash, mixing, prefix_ranks, quality, secret_scan, sharding, suffix_dedup, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = "the of and a to in is that it for was on are as with his they at be this have from or had by word but what some we can out other were all".split()
@@ -219,6 +219,16 @@ def test_repeats(spark, docs, empty):
     assert collections.Counter(map(tuple, suffix_dedup.remove_repeats(df, 9).collect())) == plain_removal(rows, 9)
 
 
+def test_repeats_by_ranks(spark, docs, empty):
+    rows = [(i, t) for i, t, *_ in corpus()]
+    assert collections.Counter(map(tuple, prefix_ranks.remove_repeats(docs).collect())) == plain_removal(rows)
+    assert prefix_ranks.remove_repeats(empty).count() == 0
+    rnd = random.Random(5)
+    rows = [(i // 2, "".join(rnd.choice("ab") for _ in range(rnd.randrange(60)))) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert collections.Counter(map(tuple, prefix_ranks.remove_repeats(df, 9).collect())) == plain_removal(rows, 9)
+
+
 def test_repeats_over_chunks_and_segments(monkeypatch):
     """The rounds by hand, with small chunks, and a text longer than a segment."""
     import pyarrow as pa
