@@ -1,6 +1,6 @@
 """Removal of long byte strings that an earlier document has, by fingerprints of minimizer contexts.
 
-This stands in the place of prefix doubling, which would rank every position by pairs of earlier ranks: nothing
+This stands in the place of prefix doubling (prefix_ranks), which ranks every position by pairs of earlier ranks: nothing
 is ranked here. Each round hashes strings of a growing length anew from the text, deals the hashes into
 buckets, sorts each bucket, and tells the positions whose hash is shared, which alone go on: strings of a third
 of the threshold, then of two thirds, then of the whole.
