@@ -1,4 +1,4 @@
-"""Cleanup presets and corner detection on whole images, in numpy, a batch of images at a time.
+"""Cleanup presets, filters, edges and warps on whole images, in numpy, a batch of images at a time.
 
 Images are rows (img_id, w, h, body), body being w * h * 3 bytes of r, g, b. Kernels follow the published
 definitions (CIE Lab, contrast-limited adaptive histogram equalisation after Zuiderveld, Canny, Otsu) and rules of
@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import color
+
 PRESETS = ("natural", "enhanced", "cleantext")
 TILES = 8
 # The presets' parameters.
@@ -135,6 +137,38 @@ def resize(a: np.ndarray, w: int, h: int) -> np.ndarray:
     return to_levels((at(y0, x0) * (1 - wx) + at(y0, x0 + 1) * wx) * (1 - wy) + (at(y0 + 1, x0) * (1 - wx) + at(y0 + 1, x0 + 1) * wx) * wy)
 
 
+def resize_rgb(a: np.ndarray, w: int, h: int) -> np.ndarray:
+    return np.stack([resize(a[..., c], w, h) for c in range(a.shape[2])], -1)
+
+
+def _cubic(size: int, to: int) -> np.ndarray:
+    """Weights of `size` samples for each of `to`: Keys' cubic with -0.75, beyond the border the last sample."""
+    at = (np.arange(to) + 0.5) * size / to - 0.5
+    first, out = np.floor(at).astype(int), np.zeros((to, size))
+    for k in range(-1, 3):
+        d = np.abs(at - (first + k))
+        w = np.where(d <= 1, (1.25 * d - 2.25) * d * d + 1, ((-0.75 * d + 3.75) * d - 6) * d + 3)
+        np.add.at(out, (np.arange(to), np.clip(first + k, 0, size - 1)), w)
+    return out
+
+
+def _mean(size: int, to: int) -> np.ndarray:
+    """Weights of `size` samples for each of `to`: the part of each that it covers."""
+    edges = np.arange(to + 1) * size / to
+    cover = np.minimum(edges[1:, None], np.arange(1, size + 1)) - np.maximum(edges[:-1, None], np.arange(size))
+    return np.maximum(cover, 0) * to / size
+
+
+def enlarge(a: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Cubic."""
+    return to_levels(_cubic(a.shape[0], h) @ a.astype(np.float64) @ _cubic(a.shape[1], w).T)
+
+
+def shrink(a: np.ndarray, w: int, h: int) -> np.ndarray:
+    """Means over the area that a pixel covers."""
+    return to_levels(_mean(a.shape[0], h) @ a.astype(np.float64) @ _mean(a.shape[1], w).T)
+
+
 def prepare_for_reading(rgb: np.ndarray) -> np.ndarray:
     """A gray image with dark ones inverted, the background evened out and edges sharpened, at the size it had."""
     g = gray(rgb)
@@ -142,7 +176,8 @@ def prepare_for_reading(rgb: np.ndarray) -> np.ndarray:
         g = 255 - g
     g = unsharp(clahe(median_3x3(background_divide(g, BACKGROUND["ocr"])), CLIP["ocr"]), SHARPEN["ocr"])
     h, w = g.shape
-    return resize(resize(g, *min_text_size(w, h)), w, h)
+    larger = min_text_size(w, h)
+    return g if larger == (w, h) else shrink(enlarge(g, *larger), w, h)
 
 
 def clean_text(rgb: np.ndarray) -> np.ndarray:
@@ -154,6 +189,30 @@ def low_light(rgb: np.ndarray) -> np.ndarray:
     return unsharp(clahe(g, CLIP["low_light"]), SHARPEN["low_light"], 1.2)
 
 
+def sharpen_3x3(a: np.ndarray) -> np.ndarray:
+    """Nine times a level less its four neighbours; the border stays."""
+    out, v = a.copy(), a.astype(np.int32)
+    inner = 9 * v[1:-1, 1:-1] - v[:-2, 1:-1] - v[2:, 1:-1] - v[1:-1, :-2] - v[1:-1, 2:]
+    out[1:-1, 1:-1] = np.clip(inner, 0, 255)
+    return out
+
+
+def filtered(rgb: np.ndarray, filter_id: str, brightness: float = 0.0, contrast: float = 1.0) -> np.ndarray:
+    """A whole picture under any filter of the catalogue, as color.apply_filter() does it to pixels."""
+    if filter_id in _KERNELS:
+        return _KERNELS[filter_id](rgb)
+    a = sharpen_3x3(rgb) if filter_id == "sharpen" else rgb
+    m = color.fold({"bw": "gray", "sharpen": "original"}.get(filter_id, filter_id), brightness, contrast)
+    if m != color.IDENTITY:
+        m = np.array(m, float)
+        a = to_levels(a @ m[:, :3].T + m[:, 3])
+    if filter_id == "bw":
+        v = a.astype(np.int32) @ np.array([299, 587, 114]) + 500
+        v = (v // 1000).astype(np.uint8)
+        a = np.where(v <= otsu_level(v), 0, 255).astype(np.uint8)[..., None].repeat(3, 2)
+    return a
+
+
 _KERNELS = {"natural": natural, "enhanced": enhanced, "cleantext": clean_text}
 
 
@@ -176,7 +235,7 @@ def apply_preset(images: DataFrame, preset: str) -> DataFrame:
     return rows.mapInArrow(run, "img_id long, w int, h int, body binary, ok boolean, error string")
 
 
-# corner detection
+# edges and lines, for operators.corners
 
 
 def canny(a: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -229,61 +288,6 @@ def otsu_level(a: np.ndarray) -> int:
     return int(var.argmax()) if var.max() > 0 else 127
 
 
-def hull(points: np.ndarray) -> np.ndarray:
-    """The convex hull of points, in order (Andrew's monotone chain)."""
-    points = np.unique(points, axis=0).astype(np.float64)
-    if len(points) < 3:
-        return points
-
-    def half(rows: np.ndarray) -> list[np.ndarray]:
-        out: list[np.ndarray] = []
-        for p in rows:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(half(points) + half(points[::-1]))
-
-
-def quad_of(rgb: np.ndarray) -> np.ndarray | None:
-    """Four corners (x, y) of the sheet in a picture, by the hull of its bright part, or None if that is no quad."""
-    g = to_levels(blur(gray(rgb), 0, 5))
-    bright = np.argwhere(g > otsu_level(g))[:, ::-1]
-    if not len(bright):
-        return None
-    ring = hull(bright)
-    if len(ring) < 4:
-        return None
-    length = np.hypot(*(ring - np.roll(ring, 1, 0)).T).sum()
-    far = int(np.hypot(*(ring - ring[0]).T).argmax())
-    ring = np.roll(ring, -far, 0)
-    half = int(np.hypot(*(ring - ring[0]).T).argmax())
-    two = [simplify(ring[: half + 1], 0.015 * length), simplify(np.concatenate([ring[half:], ring[:1]]), 0.015 * length)]
-    corners = np.concatenate([two[0][:-1], two[1][:-1]])
-    return corners if len(corners) == 4 else None
-
-
-def detect(images: DataFrame) -> DataFrame:
-    """img_id, x0, y0 .. x3, y3, src_w, src_h: candidate quads, to be ordered and judged by operators.detect."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, w, h, body in zip(*(batch.column(c).to_pylist() for c in ("img_id", "w", "h", "body")), strict=True):
-                rgb = np.frombuffer(body, np.uint8).reshape(h, w, 3)
-                scale = min(1.0, ANALYSIS_SIDE / max(w, h))
-                small = rgb if scale == 1 else np.stack([resize(rgb[..., c], max(1, int(w * scale)), max(1, int(h * scale))) for c in range(3)], -1)
-                quad = quad_of(small)
-                if quad is not None:
-                    row = {"img_id": i, "ord": 0, "src_w": w, "src_h": h} | {f"{c}{k}": float(quad[k][int(c == "y")] / scale) for k in range(4) for c in "xy"}
-                    yield pa.RecordBatch.from_pylist([row], schema)
-
-    fields = ", ".join(f"{c}{k} double" for k in range(4) for c in "xy")
-    schema = pa.schema([("img_id", pa.int64()), ("ord", pa.int64()), ("src_w", pa.int32()), ("src_h", pa.int32()), *((f"{c}{k}", pa.float64()) for k in range(4) for c in "xy")])
-    rows = images.selectExpr("cast(img_id as bigint) img_id", "cast(w as int) w", "cast(h as int) h", "body")
-    return rows.mapInArrow(run, f"img_id long, ord long, src_w int, src_h int, {fields}")
-
-
 def warp(images: DataFrame, w: int, h: int) -> DataFrame:
     """img_id, w, h, body: images with corners x0 .. y3 seen straight on in w x h pixels, bilinear, white outside."""
     from .resample import homography

@@ -88,8 +88,8 @@ def intersection(a: Column, b: Column) -> Column:
     return F.when(F.abs(den) >= 1e-10, F.struct((a.x1 + t * (a.x2 - a.x1)).alias("x"), (a.y1 + t * (a.y2 - a.y1)).alias("y")))
 
 
-def quad_from_lines(segments: DataFrame, w: int, h: int) -> DataFrame:
-    """img_id and corners where the outermost two level and two upright lines of an image meet.
+def quad_from_lines(segments: DataFrame, w, h) -> DataFrame:
+    """w, h: of all images, or columns of the segments. img_id and corners where the outermost two level and two upright lines of an image meet.
 
     Images with fewer lines, parallel ones, a small quad or a bad angle give none. One aggregation by image.
     """
@@ -97,21 +97,22 @@ def quad_from_lines(segments: DataFrame, w: int, h: int) -> DataFrame:
     kind = F.when((angle < 30) | (angle > 150), "level").when((angle > 60) & (angle < 120), "upright")
     line = F.struct("x1", "y1", "x2", "y2")
     mid_y, mid_x = (F.col("y1") + F.col("y2")) / 2, (F.col("x1") + F.col("x2")) / 2
-    s = segments.withColumn("kind", kind).withColumn("at", F.when(F.col("kind") == "level", mid_y).otherwise(mid_x))
+    w, h = (v if isinstance(v, Column) else F.lit(v) for v in (w, h))
+    s = segments.withColumns({"_w": w.cast("double"), "_h": h.cast("double")}).withColumn("kind", kind).withColumn("at", F.when(F.col("kind") == "level", mid_y).otherwise(mid_x))
     first, last = F.struct("at", "ord"), F.struct("at", "ord")
     of = lambda k, f, o: f(F.when(F.col("kind") == k, line), F.when(F.col("kind") == k, o))
     g = s.groupBy("img_id").agg(
         of("level", F.min_by, first).alias("t"), of("level", F.max_by, last).alias("b"), of("upright", F.min_by, first).alias("l"), of("upright", F.max_by, last).alias("r"),
-        F.count(F.when(F.col("kind") == "level", 1)).alias("n_level"), F.count(F.when(F.col("kind") == "upright", 1)).alias("n_upright"),
+        F.count(F.when(F.col("kind") == "level", 1)).alias("n_level"), F.count(F.when(F.col("kind") == "upright", 1)).alias("n_upright"), F.first("_w").alias("_w"), F.first("_h").alias("_h"),
     )
     g = g.where("n_level >= 2 AND n_upright >= 2")
     for k, (a, b) in enumerate((("t", "l"), ("t", "r"), ("b", "r"), ("b", "l"))):
         g = g.withColumn(f"c{k}", intersection(F.col(a), F.col(b)))
     g = g.where("c0 IS NOT NULL AND c1 IS NOT NULL AND c2 IS NOT NULL AND c3 IS NOT NULL")
     g = computed(g)
-    inside = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), F.lit(float(most)))
-    g = g.select("img_id", *[inside(F.col(f"c{k}").x, w).alias(f"x{k}") for k in range(4)], *[inside(F.col(f"c{k}").y, h).alias(f"y{k}") for k in range(4)])
-    g = computed(order_corners(g)).where(area() >= LEAST_LINES_AREA * w * h)
-    return g.where(~has_bad_angle())
+    inside = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), most)
+    g = g.select("img_id", "_w", "_h", *[inside(F.col(f"c{k}").x, F.col("_w")).alias(f"x{k}") for k in range(4)], *[inside(F.col(f"c{k}").y, F.col("_h")).alias(f"y{k}") for k in range(4)])
+    g = computed(order_corners(g)).where(area() >= F.lit(LEAST_LINES_AREA) * F.col("_w") * F.col("_h"))
+    return g.where(~has_bad_angle()).drop("_w", "_h")
 
 

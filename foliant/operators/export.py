@@ -57,6 +57,11 @@ def page_layout(rows: DataFrame) -> DataFrame:
     return out.drop("_pw", "_ph", "_s", "_dw", "_dh")
 
 
+def in_order():
+    """A document's pages from the first on."""
+    return Window.partitionBy("doc_id").orderBy("pos")
+
+
 def names(pages: DataFrame, millis: str = "ts", prefix: str = PREFIX) -> DataFrame:
     """base and name of each page's JPG: numbered only where a document has more than one page."""
     doc = Window.partitionBy("doc_id")

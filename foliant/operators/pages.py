@@ -45,6 +45,11 @@ def update(pages: DataFrame, at: int, **values) -> DataFrame:
     return pages.withColumns({c: F.when(F.col("pos") == at, F.lit(v)).otherwise(F.col(c)) for c, v in values.items()})
 
 
+def replace_bitmap(pages: DataFrame, at: int, w: int, h: int, body: bytes | None = None) -> DataFrame:
+    """The page at a position with another picture; its filter and adjustments stay."""
+    return update(pages, at, w=w, h=h, **({} if body is None else {"body": bytearray(body)}))
+
+
 def rotate(pages: DataFrame, at: int) -> DataFrame:
     """The page at a position turned by 90 degrees: its sides w and h change places; its pixels turn with resample.rotate."""
     here = F.col("pos") == at

@@ -63,45 +63,46 @@ def gamma(pixels: DataFrame, by: float = GAMMA) -> DataFrame:
     return pixels.withColumn("lum", F.floor(F.round(F.pow(F.col("lum") / 255.0, F.lit(by)) * 255.0, 6) + 0.5).cast("int"))
 
 
-def _neighbours(pixels: DataFrame, column: str) -> DataFrame:
-    """left, right, up, down of a pixel; null over the border."""
-    row, col = Window.partitionBy("img_id", "y").orderBy("x"), Window.partitionBy("img_id", "x").orderBy("y")
-    return pixels.withColumns({
-        "_left": F.lag(column).over(row), "_right": F.lead(column).over(row),
-        "_up": F.lag(column).over(col), "_down": F.lead(column).over(col),
-    })
+def _by_image(pixels: DataFrame) -> DataFrame:
+    """Pixels of an image together: then windows over its rows and over its columns need no further shuffle."""
+    return pixels.repartition("img_id")
 
 
 def sharpen(pixels: DataFrame, channels=("lum",)) -> DataFrame:
     """9 times the pixel less its four neighbours, clamped; the border stays. (The weights add up to 5.)"""
+    row, col = Window.partitionBy("img_id", "y").orderBy("x"), Window.partitionBy("img_id", "x").orderBy("y")
+    all_ = F.struct(*channels)  # one window along rows and one along columns, however many channels
+    near = _by_image(pixels).withColumns({"_left": F.lag(all_).over(row), "_right": F.lead(all_).over(row)})
+    near = near.withColumns({"_up": F.lag(all_).over(col), "_down": F.lead(all_).over(col)})
+    out = {}
     for c in channels:
-        four = F.col("_left") + F.col("_right") + F.col("_up") + F.col("_down")  # null at the border
-        sharp = F.least(F.lit(255), F.greatest(F.lit(0), 9 * F.col(c) - four))
-        pixels = _neighbours(pixels, c).withColumn(c, F.when(four.isNotNull(), sharp).otherwise(F.col(c))).drop("_left", "_right", "_up", "_down")
-    return pixels
+        four = F.col(f"_left.{c}") + F.col(f"_right.{c}") + F.col(f"_up.{c}") + F.col(f"_down.{c}")  # null at the border
+        out[c] = F.when(four.isNotNull(), F.least(F.lit(255), F.greatest(F.lit(0), 9 * F.col(c) - four))).otherwise(F.col(c))
+    return near.withColumns(out).drop("_left", "_right", "_up", "_down")
 
 
 def _square(pixels: DataFrame, radius: int) -> DataFrame:
     """img_id, y, x, around: levels within `radius` in both directions, those beyond the border left out.
 
-    One shuffle: each pixel is sent to the cells it is a neighbour of, and these gather by cell.
+    One shuffle, by image; then each pixel gathers its row's neighbours, and the rows above and below these.
     """
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)])
-    sent = pixels.withColumn("s", F.explode(steps)).select("img_id", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"), "lum", (F.col("s.dy").isin(0) & F.col("s.dx").isin(0)).alias("own"))
-    return sent.groupBy("img_id", "y", "x").agg(F.sort_array(F.collect_list("lum")).alias("around"), F.max("own").alias("real")).where("real")
+    row = Window.partitionBy("img_id", "y").orderBy("x").rowsBetween(-radius, radius)
+    col = Window.partitionBy("img_id", "x").orderBy("y").rowsBetween(-radius, radius)
+    near = _by_image(pixels).withColumn("_row", F.collect_list("lum").over(row))
+    return near.select("img_id", "y", "x", F.sort_array(F.flatten(F.collect_list("_row").over(col))).alias("around"))
 
 
 def dilate(pixels: DataFrame, radius: int = 1) -> DataFrame:
     """The greatest level around each pixel, by a horizontal and a vertical pass."""
     row = Window.partitionBy("img_id", "y").orderBy("x").rowsBetween(-radius, radius)
     col = Window.partitionBy("img_id", "x").orderBy("y").rowsBetween(-radius, radius)
-    return pixels.withColumn("lum", F.max("lum").over(row)).withColumn("lum", F.max("lum").over(col))
+    return _by_image(pixels).withColumn("lum", F.max("lum").over(row)).withColumn("lum", F.max("lum").over(col))
 
 
 def erode(pixels: DataFrame, radius: int = 1) -> DataFrame:
     row = Window.partitionBy("img_id", "y").orderBy("x").rowsBetween(-radius, radius)
     col = Window.partitionBy("img_id", "x").orderBy("y").rowsBetween(-radius, radius)
-    return pixels.withColumn("lum", F.min("lum").over(row)).withColumn("lum", F.min("lum").over(col))
+    return _by_image(pixels).withColumn("lum", F.min("lum").over(row)).withColumn("lum", F.min("lum").over(col))
 
 
 def close_kernel(width: int, height: int) -> int:

@@ -100,8 +100,12 @@ def warp_nearest(pixels: DataFrame, quad: list[tuple[float, float]], out_w: int,
     An equi-join on pixel coordinates: output cells are generated for each image, on the executors.
     """
     back = homography([(0, 0), (out_w, 0), (out_w, out_h), (0, out_h)], quad)
-    if back is None:
-        raise ValueError("the corners are degenerate: crop to the bounding rectangle instead")
+    if back is None:  # no map takes such corners to a rectangle: what they bound is cut out as it is
+        xs, ys = [p[0] for p in quad], [p[1] for p in quad]
+        left, top = max(int(min(xs)), 0), max(int(min(ys)), 0)
+        right, bottom = max(int(max(xs)), left + 1), max(int(max(ys)), top + 1)
+        inside = F.col("x").between(left, right - 1) & F.col("y").between(top, bottom - 1)
+        return pixels.where(inside).select("img_id", (F.col("y") - top).cast("int").alias("y"), (F.col("x") - left).cast("int").alias("x"), "lum")
     a, b, c, d, e, f, g, h, i = (F.lit(v) for v in back)
     cells = pixels.select("img_id").distinct()
     cells = cells.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(out_h - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(out_w - 1))))

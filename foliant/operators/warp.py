@@ -116,6 +116,26 @@ def size_by_choice(quads: DataFrame, choice: str = "choice", custom: str = "cust
     return _sized(_measures(projective_ratio(quads)), pick(pw, hw, fw), pick(ph, hh, fh)).drop("ratio")
 
 
+OUTSIDE, INSET = (-0.05, 1.05), 0.02  # how far corners go beyond their image, and where they start from
+
+
+def to_unit(quads: DataFrame, left: float, top: float, width: float, height: float) -> DataFrame:
+    """Corners on a view, where the image fills a rectangle, as parts of the image, held a little outside of it."""
+    part = lambda c, low, size: F.least(F.greatest((F.col(c) - low) / size, F.lit(OUTSIDE[0])), F.lit(OUTSIDE[1]))
+    return quads.withColumns({f"{c}{k}": part(f"{c}{k}", *((left, width) if c == "x" else (top, height))) for c in "xy" for k in range(4)})
+
+
+def to_pixels(quads: DataFrame, w: str = "src_w", h: str = "src_h") -> DataFrame:
+    """Corners as parts of their image in its pixels."""
+    return quads.withColumns({f"{c}{k}": F.col(f"{c}{k}") * F.col(w if c == "x" else h) for c in "xy" for k in range(4)})
+
+
+def turned_in_crop(quads: DataFrame, w: str = "src_w", h: str = "src_h") -> DataFrame:
+    """After a turn by 90 degrees within the crop: the image's sides change places and the corners start anew."""
+    xs, ys = (INSET, 1 - INSET, 1 - INSET, INSET), (INSET, INSET, 1 - INSET, 1 - INSET)
+    return quads.withColumns({w: F.col(h), h: F.col(w)} | {f"x{k}": F.lit(xs[k]) for k in range(4)} | {f"y{k}": F.lit(ys[k]) for k in range(4)})
+
+
 def apply_crop(quads: DataFrame, choice: str = "choice", custom: str = "custom") -> DataFrame:
     """Crops that are made: quads (in pixels) that cover enough of their image, with their output sizes."""
     return size_by_choice(quads.where(large_enough("src_w", "src_h")), choice, custom)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalar
-from ..operators import cleanup, color, detect, export, geometry, pages, pixels, registry, resample, warp
+from ..operators import cleanup, color, corners, detect, export, geometry, pages, pixels, registry, resample, warp
 from ..sources import settings
 from ..streaming import gestures
+from . import exporting
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,8 +159,21 @@ for _id in cleanup.PRESETS:
 
 
 @query
-def detect_candidates(spark, d):
-    return cleanup.detect(_images(spark, d))
+def detect_corners(spark, d):
+    return corners.locate(fx.sheets(spark, d)).select("img_id", *[F.round(f"{c}{k}", 3).alias(f"{c}{k}") for k in range(4) for c in "xy"])
+
+
+@query
+def export_files(spark, d):
+    made = exporting.files(fx.picture_pages(_images(spark, d)), "A4", "VERY_SMALL", 85)
+    return made.select("doc_id", "seq", "name", "kind", F.md5("content").alias("digest"))
+
+
+@query
+def export_record(spark, d):
+    pages = fx.picture_pages(_images(spark, d))
+    made, after, inbox = exporting.run(pages, fx.registry(spark, d), spark.createDataFrame([], "name string, uri string"), in_color=False)
+    return after.where("title LIKE 'scan%'").join(inbox, F.col("pdfUri") == F.concat(F.lit("content://"), "name"), "left").select("id", "title", "pageCount", "format", "pdfUri", "jpgUris", "uri")
 
 
 @query
@@ -292,6 +306,12 @@ def page_selection(spark, d):
     return pages.selection_after_removal(fx.pages(spark, d), 4)
 
 
+@query
+def page_replace(spark, d):
+    rows = fx.pages(spark, d).select("doc_id", "pos", (F.col("doc_id") % 7 + 1).cast("int").alias("w"), (F.col("pos") + 20).alias("h"))
+    return pages.replace_bitmap(rows, 1, 33, 44)
+
+
 @query
 def page_rotate(spark, d):
     sized = fx.pages(spark, d).withColumns({"w": (F.col("doc_id") % 7 + 1).cast("int"), "h": (F.col("pos") + 20).cast("int")})
@@ -401,6 +421,22 @@ def axis_snap_flags(spark, d):
     return geometry.snap_flags(fx.gestures(spark, d), 0.0, 500.0).select("gesture_id", "seq", "snapped")
 
 
+@query
+def edge_drag(spark, d):
+    return gestures.drag_edge(fx.gestures(spark, d), 1)
+
+
+@query
+def crop_from_view(spark, d):
+    q = warp.to_pixels(warp.to_unit(fx.quads(spark, d), 40.0, 30.0, 640.0, 800.0))
+    return warp.apply_crop(q.withColumns({"choice": F.lit("ORIGINAL"), "custom": F.lit("")})).select("quad_id", *[f"{c}{k}" for k in range(4) for c in "xy"], "out_w", "out_h")
+
+
+@query
+def crop_turned(spark, d):
+    return warp.turned_in_crop(fx.quads(spark, d)).select("quad_id", "src_w", "src_h", *[f"{c}{k}" for k in range(4) for c in "xy"])
+
+
 @query
 def snap_fold(spark, d):
     return gestures.fold(fx.gestures(spark, d))

@@ -78,6 +78,41 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("quad_id"), *cols, F.lit(SRC_W).alias("src_w"), F.lit(SRC_H).alias("src_h"))
 
 
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img_id, w, h, body: each quad painted light on dark, at a quarter of its size. Pictures of the quads, for detection."""
+    w, h = SRC_W // 4, SRC_H // 4
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        y, x = np.mgrid[0:h, 0:w]
+        for batch in batches:
+            ids, bodies = [], []
+            for r in batch.to_pylist():
+                p = [(r[f"x{k}"] / 4, r[f"y{k}"] / 4) for k in range(4)]
+                inside = np.ones((h, w), bool)
+                for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1], strict=True):
+                    inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0
+                ids.append(r["quad_id"])
+                bodies.append(np.where(inside, 225, 45).astype(np.uint8)[..., None].repeat(3, 2).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([w] * len(ids), pa.int32()), pa.array([h] * len(ids), pa.int32()), pa.array(bodies, pa.binary())], ["img_id", "w", "h", "body"])
+
+    # rows of a few numbers become pictures, and pictures take long to read: they are spread before they are painted
+    return quads(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism).mapInArrow(run, "img_id long, w int, h int, body binary")
+
+
+def picture_pages(images: DataFrame) -> DataFrame:
+    """Images (img_id, w, h, body) as the pages of documents of three, each document with its format and time."""
+    i = F.col("img_id")
+    filters = F.array(*[F.lit(f) for f in ("original", "magic", "bw", "sharpen", "sepia")])
+    fmt = F.element_at(F.array(F.lit("both"), F.lit("pdf"), F.lit("jpg")), ((i / 3).cast("long") % 3 + 1).cast("int"))
+    return images.select(
+        (i / 3).cast("long").alias("doc_id"), (i % 3).cast("int").alias("pos"), "w", "h", "body", F.element_at(filters, (i % 5 + 1).cast("int")).alias("filter_id"),
+        F.lit(0.2).alias("brightness"), F.lit(1.1).alias("contrast"), fmt.alias("format"), (F.lit(1704067200000) + (i / 3).cast("long") * 1000).alias("ts"),
+    )
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """img_id, ord, x1, y1, x2, y2: sixteen segments of each embedding."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img_id"), "embedding", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("ord"))

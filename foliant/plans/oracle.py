@@ -234,6 +234,20 @@ def _edge_translate() -> str:
 SELECT quad_id, applied, {out} FROM a"""
 
 
+def _edge_drag() -> str:
+    """Every move against the box; the last one that is applied."""
+    box = ((0.0, 0.0), (490.0, 0.0), (490.0, 500.0), (0.0, 500.0))
+    at = ", ".join(f"{p[i]}::DOUBLE AS {'xy'[i]}{k}" for k, p in enumerate(box) for i in range(2))
+    nx, ny, _ = _normal(1)
+    moved = ", ".join(f"{c}{k} + {f'd * n{c}' if k in (1, 2) else '0.0::DOUBLE'} AS m{c}{k}" for k in range(4) for c in "xy")
+    names = [f"{c}{k}" for k in range(4) for c in "xy"]
+    return f"""WITH {MOVES}, q AS MATERIALIZED (SELECT gesture_id, seq, x AS px, y AS py, {at} FROM moves), n AS MATERIALIZED (SELECT *, {nx} AS nx, {ny} AS ny FROM q),
+  ds AS MATERIALIZED (SELECT *, (px - (x1 + x2) / 2) * nx + (py - (y1 + y2) / 2) * ny AS d FROM n), m AS MATERIALIZED (SELECT *, {moved} FROM ds),
+  a AS MATERIALIZED (SELECT *, {_valid("mx", "my")} AND (0.5::DOUBLE * {_area2("mx", "my")}) * (0.5::DOUBLE * {_area2()}) > 0 AS applied FROM m),
+  l AS (SELECT gesture_id, bool_or(applied) AS moved, {", ".join(f"arg_max(m{c}, seq) FILTER (applied) AS e{c}" for c in names)}, {", ".join(f"any_value({c}) AS {c}" for c in names)} FROM a GROUP BY gesture_id)
+SELECT gesture_id, moved, {", ".join(f"coalesce(e{c}, {c}) AS {c}" for c in names)} FROM l"""
+
+
 def _delta(fx: float, fy: float, x: str, y: str, same: str) -> str:
     angle = f"degrees(atan2(abs({y} - {fy}::DOUBLE), abs({x} - {fx}::DOUBLE)))"
     return f"CASE WHEN {x} = {fx} AND {y} = {fy} THEN {same} ELSE round(least({angle}, 90.0::DOUBLE - {angle}), 9) END"
@@ -430,6 +444,13 @@ def sql() -> dict[str, str]:
     out["grayscale_copy"] = f"WITH {RGB}, g AS MATERIALIZED (SELECT *, least(255, greatest(0, floor(0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b + 0.5::DOUBLE)))::INTEGER AS v FROM rgb) SELECT img_id, y, x, v AS r, v AS g, v AS b FROM g"
     out["export_bw"] = f"""WITH {RGB}, c AS ({_colours(RECIPES["sepia"])}), d AS ({_colours(RECIPES["gray"], "c")}), l AS (SELECT img_id, y, x, {LUMA} AS lum FROM d), {_otsu("l")},
           o AS (SELECT img_id, y, x, CASE WHEN lum <= threshold THEN 0 ELSE 255 END AS v FROM l JOIN otsu USING (img_id)) SELECT img_id, y, x, v AS r, v AS g, v AS b FROM o"""
+    out["edge_drag"] = _edge_drag()
+    unit = lambda c, k: f"least(greatest(({c}{k} - {40.0 if c == 'x' else 30.0}::DOUBLE) / {640.0 if c == 'x' else 800.0}::DOUBLE, -0.05::DOUBLE), 1.05::DOUBLE) * {800 if c == 'x' else 1000}"
+    out["crop_from_view"] = f"""WITH {QUADS.replace("quads AS", "viewed AS", 1)}, quads AS MATERIALIZED (SELECT quad_id, src_w, src_h, {", ".join(f"{unit(c, k)} AS {c}{k}" for k in range(4) for c in "xy")} FROM viewed), {MEASURED}
+      SELECT quad_id, {COLS}, old_w AS out_w, old_h AS out_h FROM measured WHERE abs(0.5::DOUBLE * {_area2()}) / (src_w * src_h) >= 0.02"""
+    inset = {"x": (0.02, 0.98, 0.98, 0.02), "y": (0.02, 0.02, 0.98, 0.98)}
+    out["crop_turned"] = f"WITH {QUADS} SELECT quad_id, src_h AS src_w, src_w AS src_h, {', '.join(f'{inset[c][k]}::DOUBLE AS {c}{k}' for k in range(4) for c in 'xy')} FROM quads"
+    out["page_replace"] = f"WITH {PAGES} SELECT doc_id, pos, CASE WHEN pos = 1 THEN 33 ELSE doc_id % 7 + 1 END::INTEGER AS w, CASE WHEN pos = 1 THEN 44 ELSE pos + 20 END::INTEGER AS h FROM pages"
     out["page_rotate"] = f"WITH {PAGES}, s AS (SELECT doc_id, pos, (doc_id % 7 + 1)::INTEGER AS w, (pos + 20)::INTEGER AS h FROM pages) SELECT doc_id, pos, CASE WHEN pos = 1 THEN h ELSE w END AS w, CASE WHEN pos = 1 THEN w ELSE h END AS h FROM s"
     out["page_select"] = f"WITH {PAGES} SELECT doc_id, CASE WHEN max(pos) >= 3 THEN 3 ELSE 0 END::INTEGER AS selected FROM pages GROUP BY ALL"
     out["min_text_size"] = f"""WITH {RASTER}, s AS MATERIALIZED (SELECT *, least(2.0::DOUBLE, 1800.0::DOUBLE / greatest(w, h)) AS s FROM raster)

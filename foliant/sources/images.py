@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -11,6 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.cleanup import resize, resize_rgb
+from . import jpeg
+
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
     """uri, w, h, body (r, g, b bytes) of image files; those that can't be decoded are dropped, as nulls would be.
@@ -63,7 +67,6 @@ def read_upright(spark: SparkSession, path: str, most: int = 2000) -> DataFrame:
 
 def turned(rows: DataFrame, most: int) -> DataFrame:
     """Images turned clockwise by their `degrees` and fitted to a longest side."""
-    from ..operators.cleanup import resize
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,16 +124,78 @@ def pdf(pages: list[dict]) -> bytes:
     return bytes(out)
 
 
-def encode_pages(pages: DataFrame) -> DataFrame:
-    """doc_id, name, content: a PNG for each page row (doc_id, name, w, h, body), for a table sink with commit."""
+def encode_pages(pages: DataFrame, quality: int | None = 92) -> DataFrame:
+    """doc_id, seq, name, content: a JPEG for each page row (doc_id, seq, name, w, h, body), for a table sink with
+    commit; without a quality, a PNG. A page whose bytes aren't w * h * 3 is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"doc_id": r["doc_id"], "name": r["name"], "content": png(r["w"], r["h"], r["body"])} for r in batch.to_pylist()]
+            rows = []
+            for r in batch.to_pylist():
+                if r["body"] is not None and len(r["body"]) == 3 * r["w"] * r["h"] > 0:
+                    content = png(r["w"], r["h"], r["body"]) if quality is None else jpeg.encode(np.frombuffer(r["body"], np.uint8).reshape(r["h"], r["w"], 3), quality)
+                    rows.append({"doc_id": r["doc_id"], "seq": r["seq"], "name": r["name"], "content": content})
             yield pa.RecordBatch.from_pylist(rows, schema)
 
-    schema = pa.schema([("doc_id", pa.int64()), ("name", pa.string()), ("content", pa.binary())])
-    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "name", "w", "h", "body").mapInArrow(run, "doc_id long, name string, content binary")
+    schema = pa.schema([("doc_id", pa.int64()), ("seq", pa.int32()), ("name", pa.string()), ("content", pa.binary())])
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "seq", "name", "w", "h", "body").mapInArrow(run, "doc_id long, seq int, name string, content binary")
+
+
+PDF_SIDE, PDF_SCALE = 2200.0, (0.1, 8.0)  # of a page that is read: its longer side in pixels, and how far it is scaled
+_NUMBER = rb"-?[0-9.]+"
+
+
+def pdf_pages(content: bytes) -> list[tuple[int, int, bytes]]:
+    """(w, h, r g b bytes) of the pages of a PDF whose pages each draw one uncompressed or Flate image of 8 bits, as
+    scans do and as pdf() writes them, on white. A page that draws anything else is left white."""
+    objects = {int(m[1]): m[2] for m in re.finditer(rb"(\d+) 0 obj\s(.*?)\sendobj", content, re.S)}
+
+    def stream(body: bytes) -> bytes:
+        head, _, rest = body.partition(b"stream\n")
+        size = int(re.search(rb"/Length (\d+)", head)[1])
+        return zlib.decompress(rest[:size]) if b"/FlateDecode" in head else rest[:size]
+
+    kids = next((re.findall(rb"(\d+) 0 R", m[1]) for b in objects.values() if b"/Type /Pages" in b and (m := re.search(rb"/Kids \[(.*?)\]", b, re.S))), [])
+    out = []
+    for page in (objects[int(k)] for k in kids if int(k) in objects):
+        box = [float(v) for v in re.search(rb"/MediaBox \[(.*?)\]", page)[1].split()]
+        pw, ph = box[2] - box[0], box[3] - box[1]
+        scale = min(max(PDF_SCALE[0], PDF_SIDE / max(pw, ph)), PDF_SCALE[1])
+        w, h = max(1, int(pw * scale)), max(1, int(ph * scale))
+        canvas = np.full((h, w, 3), 255, np.uint8)
+        image = re.search(rb"/XObject << /\w+ (\d+) 0 R", page)
+        draw = re.search(rb"/Contents (\d+) 0 R", page)
+        place = draw and re.search(rb"(%s) 0 0 (%s) (%s) (%s) cm" % ((_NUMBER,) * 4), stream(objects[int(draw[1])]))
+        if image and place:
+            body = objects[int(image[1])]
+            iw, ih = (int(re.search(rb"/%s (\d+)" % k, body)[1]) for k in (b"Width", b"Height"))
+            data, channels = stream(body), 1 if b"/DeviceGray" in body else 3
+            dw, dh, left, low = (float(v) for v in place.groups())
+            if len(data) == iw * ih * channels:
+                a = np.frombuffer(data, np.uint8).reshape(ih, iw, channels).repeat(3 // channels, 2)
+                x0, x1, y0, y1 = round(left * scale), round((left + dw) * scale), round((ph - low - dh) * scale), round((ph - low) * scale)
+                drawn = resize_rgb(a, max(1, x1 - x0), max(1, y1 - y0))
+                part = canvas[max(y0, 0) : y1, max(x0, 0) : x1]
+                part[:] = drawn[max(-y0, 0) :, max(-x0, 0) :][: part.shape[0], : part.shape[1]]
+        out.append((w, h, canvas.tobytes()))
+    return out
+
+
+def read_pdfs(spark: SparkSession, path: str) -> DataFrame:
+    """uri, page, w, h, body of the pages of PDF files, see pdf_pages(). A file that can't be read gives no rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                try:
+                    pages = pdf_pages(r["content"])
+                except (ValueError, TypeError, KeyError, zlib.error):
+                    pages = []
+                for k, (w, h, body) in enumerate(pages):  # a page at a time: a page has megabytes
+                    yield pa.RecordBatch.from_pylist([{"uri": r["path"], "page": k, "w": w, "h": h, "body": body}], schema)
+
+    schema = pa.schema([("uri", pa.string()), ("page", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("body", pa.binary())])
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "uri string, page int, w int, h int, body binary")
 
 
 def encode_pdfs(pages: DataFrame) -> DataFrame:

@@ -34,6 +34,19 @@ def update(stored: DataFrame, **values) -> DataFrame:
     return stored.join(F.broadcast(new.select("key")), "key", "left_anti").unionByName(new)
 
 
+JPEG_QUALITY = (50, 100)  # what the slider reaches
+
+
+def set_jpeg_quality(stored: DataFrame, quality: float) -> DataFrame:
+    """The quality of JPGs, truncated and held within the slider's range."""
+    return update(stored, jpegQuality=min(max(int(quality), JPEG_QUALITY[0]), JPEG_QUALITY[1]))
+
+
+def choose_inbox(stored: DataFrame, uri: str) -> DataFrame:
+    """A chosen folder is also switched on."""
+    return update(stored, inboxUri=uri, inboxEnabled=True)
+
+
 def save(stored: DataFrame, path: str) -> None:
     resolve(stored).write.mode("overwrite").json(path)
 

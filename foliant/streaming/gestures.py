@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import let
-from ..operators.geometry import SNAP_ENTER, SNAP_EXIT
+from ..operators.geometry import SNAP_ENTER, SNAP_EXIT, translate_edge
 
 BOX = ((0.0, 0.0), (490.0, 0.0), (490.0, 500.0), (0.0, 500.0))  # of the fixture: corners as a gesture finds them
 DIGITS = 9  # to which angles are rounded, so that engines agree
@@ -78,6 +78,20 @@ def fold(moves: DataFrame, corner: int = 2, box=BOX) -> DataFrame:
     return ordered.select("gesture_id", F.aggregate("moves", start, lambda s, m: step(s, m, corner, box)).alias("s")).select("gesture_id", "s.*")
 
 
+def drag_edge(moves: DataFrame, edge: int, box=BOX) -> DataFrame:
+    """gesture_id, x0 .. y3 and moved: the corners after an edge was dragged.
+
+    Every move is judged against the corners at the start, so a drag ends where its last move that was allowed
+    left it: an aggregate, without a fold.
+    """
+    corners = [f"{c}{k}" for k in range(4) for c in "xy"]
+    at = {f"{c}{k}": F.lit(p[i]) for k, p in enumerate(box) for i, c in enumerate("xy")}
+    rows = moves.select("gesture_id", "seq", F.col("x").alias("_px"), F.col("y").alias("_py")).withColumns(at)
+    rows = translate_edge(rows, edge, F.col("_px"), F.col("_py"))
+    last = rows.groupBy("gesture_id").agg(F.max_by(F.when(F.col("applied"), F.struct(*corners)), F.when(F.col("applied"), F.col("seq"))).alias("q"), F.max("applied").alias("moved"))
+    return last.select("gesture_id", *[F.coalesce(F.col(f"q.{c}"), at[c]).alias(c) for c in corners], "moved")
+
+
 @dataclass
 class Snap:
     """The same for one move at a time, in plain Python: for the streaming operator, and to test the fold by."""

@@ -8,8 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import scalar
-from foliant.operators import cleanup, color, detect, export, geometry, pages, pixels, registry, resample, warp
-from foliant.sources import images, registry_json, settings
+from foliant.operators import cleanup, color, corners, detect, export, geometry, pages, pixels, registry, resample, warp
+from foliant.plans import exporting
+from foliant.sources import images, jpeg, registry_json, settings
 from foliant.streaming import gestures
 
 
@@ -195,15 +196,79 @@ def test_cleanup(spark):
         assert rows[1].ok and len(rows[1].body) == 3600 and not rows[2].ok and bytes(rows[2].body) == b"xx"
 
 
-def test_detection_finds_a_sheet(spark):
-    a = np.zeros((120, 100, 3), np.uint8)
-    a[20:100, 15:85] = 230
-    df = spark.createDataFrame([(1, 100, 120, bytearray(a.tobytes()))], "img_id long, w int, h int, body binary")
-    r = detect.best_quad(cleanup.detect(df)).first()
-    assert max(abs(r.x0 - 15), abs(r.y0 - 20), abs(r.x2 - 84), abs(r.y2 - 99)) <= 2
-    quad = {f"{c}{k}": F.lit(float(v)) for k, p in enumerate(((15, 20), (85, 20), (85, 100), (15, 100))) for c, v in zip("xy", p, strict=True)}
-    out = cleanup.warp(df.withColumns(quad), 10, 10).first()
-    assert np.frombuffer(bytes(out.body), np.uint8).min() >= 225
+def sheet(w, h, quad, light=225, dark=45, noise=3):
+    y, x = np.mgrid[0:h, 0:w]
+    inside = np.ones((h, w), bool)
+    for (ax, ay), (bx, by) in zip(quad, quad[1:] + quad[:1], strict=True):
+        inside &= (bx - ax) * (y - ay) - (by - ay) * (x - ax) >= 0
+    a = np.where(inside, light, dark)[..., None].repeat(3, 2) + np.random.default_rng(0).normal(0, noise, (h, w, 3))
+    return np.clip(a, 0, 255).astype(np.uint8)
+
+
+def as_images(spark, arrays):
+    return spark.createDataFrame([(k, a.shape[1], a.shape[0], bytearray(a.tobytes())) for k, a in enumerate(arrays)], "img_id long, w int, h int, body binary")
+
+
+def test_detection_finds_sheets(spark):
+    quads = [[(80, 60), (430, 90), (410, 540), (60, 510)], [(30, 30), (400, 30), (400, 300), (30, 300)], [(60, 50), (420, 80), (400, 380), (50, 350)], [(10, 10), (14, 10), (14, 14), (10, 14)]]
+    arrays = [sheet(500, 600, quads[0]), sheet(450, 340, quads[1]), sheet(480, 440, quads[2], 50, 12, 0), sheet(300, 300, quads[3])]
+    df = as_images(spark, arrays).union(spark.createDataFrame([(9, 5, 5, bytearray(b"xx"))], "img_id long, w int, h int, body binary"))
+    got = {r.img_id: r for r in corners.locate(df).collect()}
+    assert set(got) == {0, 1, 2}  # a speck is no sheet, nor is what can't be read
+    for k in range(3):
+        assert max(abs(got[k][f"{c}{i}"] - p[j]) for i, p in enumerate(quads[k]) for j, c in enumerate("xy")) <= 6, (k, got[k])
+    quad = {f"{c}{k}": F.lit(float(v)) for k, p in enumerate(quads[1]) for c, v in zip("xy", p, strict=True)}
+    out = cleanup.warp(as_images(spark, arrays[1:2]).withColumns(quad), 10, 10).first()
+    assert np.frombuffer(bytes(out.body), np.uint8).reshape(10, 10, 3)[1:-1, 1:-1].min() >= 210
+
+
+def test_lines_stand_in_for_broken_contours(spark):
+    edges = np.zeros((300, 260), bool)
+    edges[40, 30:90] = edges[40, 140:220] = edges[260, 35:225] = True
+    edges[50:120, 30] = edges[170:250, 30] = edges[60:240, 220] = True
+    assert corners.quads_of(edges) == []
+    s = corners.segments_of(edges)
+    assert len(s) == 6 or len(s) >= 4
+    rows = [(1, k, *map(float, v)) for k, v in enumerate(s.tolist())]
+    r = detect.quad_from_lines(spark.createDataFrame(rows, "img_id long, ord int, x1 double, y1 double, x2 double, y2 double"), 260, 300).first()
+    assert max(abs(r.x0 - 30), abs(r.y0 - 40), abs(r.x2 - 220), abs(r.y2 - 260)) <= 2
+
+
+def test_parts_and_outlines():
+    rng = np.random.default_rng(5)
+    mask = rng.random((30, 40)) < 0.35
+    found = corners.parts(mask)
+    assert sum(map(len, found)) == mask.sum()
+    label = {tuple(p): k for k, part in enumerate(found) for p in part.tolist()}
+    for (y, x), k in label.items():
+        assert all(label.get((y + dy, x + dx), k) == k for dy in (-1, 0, 1) for dx in (-1, 0, 1))
+    seen, todo = set(), [tuple(found[0][0])]
+    while todo:
+        p = todo.pop()
+        if p not in seen and p in label:
+            seen.add(p)
+            todo += [(p[0] + dy, p[1] + dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    assert len(seen) == len(found[0])
+    box = np.array([(y, x) for y in range(5, 15) for x in range(3, 23)])
+    ring = corners.outline(box)
+    assert len(ring) == 2 * (10 + 20) - 4 and corners.enclosed(ring) == 9 * 19
+    assert len(corners.outline(np.array([[4, 4]]))) == 1
+    for part in found:
+        ring = corners.outline(part)
+        assert {(y, x) for x, y in ring.astype(int).tolist()} <= set(map(tuple, part.tolist()))
+        assert (ring.min(0) == part.min(0)[::-1]).all() and (ring.max(0) == part.max(0)[::-1]).all()
+
+
+def test_closing_and_resizing():
+    a = np.zeros((9, 12), np.uint8)
+    a[2:7, 2:5] = a[2:7, 6:9] = 255
+    closed = corners.close(a, 3)
+    assert closed[2:7, 2:9].min() == 255 and closed[:2].max() == 0 and closed[:, :2].max() == 0
+    flat = np.full((6, 5), 77, np.uint8)
+    assert (cleanup.enlarge(flat, 11, 13) == 77).all() and (cleanup.shrink(flat, 2, 3) == 77).all()
+    b = np.arange(16, dtype=np.uint8).reshape(4, 4) * 10
+    assert (cleanup.shrink(b, 2, 2) == [[25, 45], [105, 125]]).all()
+    assert np.abs(cleanup.shrink(cleanup.enlarge(b, 8, 8), 4, 4).astype(int) - b).max() <= 6
 
 
 def test_canny_marks_a_step():
@@ -233,3 +298,82 @@ def test_orientation_and_thumbnails(spark, tmp_path):
     assert (r.w, r.h) == (4, 6) and np.array_equal(np.frombuffer(bytes(r.body), np.uint8).reshape(6, 4, 3), np.rot90(a, -1))
     t = images.thumbnails(df.drop("degrees"), 3).first()
     assert (t.w, t.h) == (3, 2)
+
+
+def test_jpeg_files_are_read_by_the_jvm(spark, tmp_path):
+    y, x = np.mgrid[0:61, 0:83]
+    smooth = np.stack([x * 3, y * 4, 255 - x - y], -1).astype(np.uint8)
+    noise = np.random.default_rng(0).integers(0, 256, (37, 53, 3), np.uint8)
+    for name, a, quality, off in (("a", smooth, 95, 4), ("b", noise, 100, 6), ("c", np.full((1, 1, 3), 9, np.uint8), 50, 4), ("d", smooth, 1, 255)):
+        (tmp_path / f"{name}.jpg").write_bytes(jpeg.encode(a, quality))
+        r = images.read_images(spark, str(tmp_path / f"{name}.jpg")).first()
+        got = np.frombuffer(bytes(r.body), np.uint8).reshape(r.h, r.w, 3)
+        assert got.shape == a.shape and np.abs(got.astype(int) - a).max() <= off, name
+    sizes = [len(jpeg.encode(smooth, q)) for q in (1, 50, 92, 100, 400)]
+    assert sizes == sorted(sizes) and sizes[-1] == sizes[-2]
+
+
+def test_pdf_pages_come_back(spark, tmp_path):
+    a = np.random.default_rng(3).integers(0, 256, (70, 50, 3), np.uint8)
+    pages = [{"w": 50, "h": 70, "body": a.tobytes(), "page_w": 50.0, "page_h": 70.0, "left": 0.0, "top": 0.0, "right": 50.0, "bottom": 70.0}, {"w": 50, "h": 70, "body": a.tobytes(), "page_w": 4400.0, "page_h": 2200.0, "left": 1000.0, "top": 600.0, "right": 1500.0, "bottom": 1300.0}]
+    (tmp_path / "a.pdf").write_bytes(images.pdf(pages))
+    (tmp_path / "b.pdf").write_bytes(b"no pdf at all")
+    one, two = images.read_pdfs(spark, str(tmp_path)).orderBy("page").collect()
+    assert (one.w, one.h, two.w, two.h) == (400, 560, 2200, 1100)
+    got = np.frombuffer(bytes(one.body), np.uint8).reshape(560, 400, 3)
+    assert (cleanup.resize_rgb(a, 400, 560) == got).all()
+    whole = np.frombuffer(bytes(two.body), np.uint8).reshape(1100, 2200, 3)
+    assert (whole[:300] == 255).all() and (whole[300:650, 500:750] == cleanup.resize_rgb(a, 250, 350)).all()
+
+
+def test_whole_picture_filters_equal_the_relational_ones(spark):
+    a = np.random.default_rng(4).integers(0, 256, (7, 6, 3), np.uint8)
+    df = as_images(spark, [a])
+    px = images.to_pixels(df)
+    for name in [*color.RECIPES, "bw", "sharpen"]:
+        rows = color.apply_filter(px, name, 0.3, 1.2).collect()
+        want = np.zeros_like(a)
+        for r in rows:
+            want[r.y, r.x] = (r.r, r.g, r.b)
+        assert (cleanup.filtered(a, name, 0.3, 1.2) == want).all(), name
+
+
+def test_export_as_one_plan(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    body = lambda: bytearray(rng.integers(0, 256, (12, 9, 3), np.uint8).tobytes())
+    rows = [(d, p, 9, 12, body(), "sepia" if p else "original", 0.0, 1.0, fmt, 1704067200000) for d, n, fmt in ((1, 1, "both"), (2, 3, "jpg"), (3, 2, "pdf")) for p in range(n)]
+    rows.append((3, 2, 9, 12, bytearray(b"broken"), "bw", 0.0, 1.0, "pdf", 1704067200000))
+    pages_ = spark.createDataFrame(rows, "doc_id long, pos int, w int, h int, body binary, filter_id string, brightness double, contrast double, format string, ts long")
+    reg = spark.createDataFrame([(7, "old", 5, 1, "pdf", "u", [], "")], "id long, title string, timestamp long, pageCount int, format string, pdfUri string, jpgUris array<string>, searchText string")
+    inbox = spark.createDataFrame([("scan_20240101_000000.pdf", "old"), ("other", "kept")], "name string, uri string")
+    made, after, box = exporting.run(pages_.where("doc_id < 3 OR pos < 2"), reg, inbox, jpeg_quality=100)
+    files = {(r.doc_id, r.seq): r for r in made.collect()}
+    assert {k: (r.name, r.kind) for k, r in files.items()} == {
+        (1, 0): ("scan_20240101_000000.pdf", "pdf"), (1, 1): ("scan_20240101_000000.jpg", "jpg"), (3, 0): ("scan_20240101_000000.pdf", "pdf"),
+        (2, 1): ("scan_20240101_000000_p1.jpg", "jpg"), (2, 2): ("scan_20240101_000000_p2.jpg", "jpg"), (2, 3): ("scan_20240101_000000_p3.jpg", "jpg"),
+    }
+    assert len(images.pdf_pages(bytes(files[3, 0].content))) == 2
+    (tmp_path / "x.jpg").write_bytes(bytes(files[2, 2].content))
+    r = images.read_images(spark, str(tmp_path / "x.jpg")).first()
+    sepia = cleanup.filtered(np.frombuffer(bytes(rows[2][4]), np.uint8).reshape(12, 9, 3), "sepia")
+    assert np.abs(np.frombuffer(bytes(r.body), np.uint8).reshape(12, 9, 3).astype(int) - sepia).max() <= 6
+    recs = {r.id: r for r in after.collect()}
+    assert sorted(recs) == [7, 8, 9, 10] and recs[9].pdfUri is None and len(recs[9].jpgUris) == 3 and recs[10].pageCount == 2
+    assert {r.uri for r in box.where("name LIKE '%.pdf'").collect()} == {"inbox://scan_20240101_000000.pdf"} and box.where("uri = 'kept'").count() == 1
+    assert exporting.share(pages_.where("doc_id = 3")).count() == 1
+    images.write_files(made, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 6
+
+
+def test_settings_rules(spark):
+    stored = spark.createDataFrame([], "key string, value string")
+    value = lambda df, k: settings.resolve(df).where(F.col("key") == k).first().value
+    assert [value(settings.set_jpeg_quality(stored, q), "jpegQuality") for q in (3, 77.9, 400)] == ["50", "77", "100"]
+    chosen = settings.choose_inbox(stored, "tree:1")
+    assert value(chosen, "inboxUri") == "tree:1" and value(chosen, "inboxEnabled") == "true"
+
+
+def test_degenerate_corners_crop(spark):
+    a = np.arange(36).reshape(6, 6)
+    got = as_arrays(resample.warp_nearest(gray(spark, [a]), [(1, 2), (4, 2), (4, 2), (1, 2)], 3, 3))
+    assert got[0] == {(0, k): int(a[2, 1 + k]) for k in range(3)}

@@ -23,7 +23,7 @@ def duck(sf_dir):
 
 def test_every_query_has_sql_or_is_a_kernel():
     assert set(SQL) <= set(QUERIES)
-    assert set(QUERIES) - set(SQL) == {"filter_natural", "filter_enhanced", "filter_cleantext", "detect_candidates", "warp_bilinear"}
+    assert set(QUERIES) - set(SQL) == {"filter_natural", "filter_enhanced", "filter_cleantext", "detect_corners", "warp_bilinear", "export_files", "export_record"}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
