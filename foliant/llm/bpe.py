@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import pieces
 
 WIDEST = 64  # bytes of the widest piece that is encoded side by side with others
-KNOWN = 300_000  # pieces that a worker remembers; it forgets all when there are more
+KNOWN = 100_000  # pieces that a worker remembers; it forgets all when there are more
 NONE = np.int64(1) << 62
 MOST_RANK_BYTES = 64 << 20
 
@@ -241,7 +241,7 @@ def encode_documents(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = codec(shared.value, pattern), hashlib.sha256
         for batch in batches:
-            for first, texts in pieces(batch, "text"):
+            for first, texts in pieces(batch, "text", 1 << 19):
                 got = bpe.encode_batch([t or "" for t in texts])
                 columns = [
                     batch.column("doc_id").slice(first, len(texts)),

@@ -67,3 +67,4 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2 << 20) -> Iterator[
     step = max(1, min(len(values), int(most / max(sizes, 1))))
     for first in range(0, len(values), step):
         yield first, values.slice(first, step).to_pylist()
+    pa.default_memory_pool().release_unused()  # workers stay; what a batch took goes back

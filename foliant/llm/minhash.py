@@ -37,7 +37,7 @@ def _word_hash(word: bytes) -> int:
 class Shingler:
     """Hashes of distinct shingles of `width` words; words are remembered by a worker up to a bound."""
 
-    def __init__(self, width: int = 3, known: int = 400_000):
+    def __init__(self, width: int = 3, known: int = 150_000):
         self.width, self.most, self.known = width, known, {}
 
     def shingles(self, text: str | None) -> np.ndarray:

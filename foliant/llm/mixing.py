@@ -28,14 +28,12 @@ FAN = 4096  # documents of a leaf, and residuals that meet
 MOST = 3.0  # times a source's size, and copies of a document
 LARGEST = 64  # documents of a group that are settled against all others
 CELLS = 512  # of a source, which bring its rows its totals
-WORD = r"[ \t\n\x0B\f\r]+"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text):
     """Number of runs other than of the six ASCII white-space characters; 0 for null."""
-    # one space between words, none around them: then words are spaces plus one
-    flat = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WORD, " "))
-    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "))) + 1).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def targets(sized: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -166,20 +164,15 @@ def mix_rows(docs: DataFrame, seed: int = 11, weights=WEIGHTS, id_col: str = "do
     by text and then by their other columns get more. Whatever their columns are called or hold, no row is taken for
     another. Further as in mix().
     """
-    name = {k: free_name(docs.columns, f"_{k}") for k in ("id", "of", "words", "rows", "whole", "extra", "place", "copy", "u0", "u1", "u2")}
-    key = [F.col(id_col).cast("long").alias(name["id"]), F.col(source_col).cast("string").alias(name["of"]), word_count(F.col(text_col)).alias(name["words"])]
-    keyed = docs.select("*", *key)
+    name = {k: free_name(docs.columns, f"_{k}") for k in ("id", "of", "words", "rows", "whole", "extra", "place", "copy")}
     same = [name["id"], name["of"], name["words"]]
-    units = keyed.groupBy(*same).agg(F.count("*").alias("rows")).toDF("doc_id", "source", "size", "rows")
-    units = settled(units, seed, weights).where("_whole + _extra > 0").select(*[F.col(c).alias(name[f"u{k}"]) for k, c in enumerate(("doc_id", "source", "size"))], F.col("rows").alias(name["rows"]), F.col("_whole").alias(name["whole"]), F.col("_extra").alias(name["extra"]))
-    meet = [keyed[c].eqNullSafe(units[name[f"u{k}"]]) for k, c in enumerate(same)]
-    met = keyed.join(units, meet).drop(*[units[name[f"u{k}"]] for k in range(3)])
-    rows, whole, extra, place = (F.col(name[k]) for k in ("rows", "whole", "extra", "place"))
-    # all rows of most units get the same: only where they don't are they put in an order
-    alike = met.where((extra == 0) | (extra == rows)).withColumn(name["place"], F.lit(1))
+    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")), word_count(F.col(text_col))]
+    keyed = docs.select("*", *[k.alias(n) for k, n in zip(key, same, strict=True)])
+    units = keyed.groupBy(*same).agg(F.count("*").alias("rows"), F.min(F.col(source_col).cast("string")).alias("source")).withColumnsRenamed({same[0]: "doc_id", same[2]: "size"})
+    units = settled(units, seed, weights).where("_whole + _extra > 0")
+    units = units.select(F.col("doc_id").alias(same[0]), F.col(same[1]), F.col("size").alias(same[2]), F.col("rows").alias(name["rows"]), F.col("_whole").alias(name["whole"]), F.col("_extra").alias(name["extra"]))
+    # the join leaves the rows of a unit together, in their order: numbering them moves no text again
     orderable = [F.col(f"`{f.name}`") for f in docs.schema.fields if f.name != text_col and f.dataType.typeName() in ("long", "integer", "string", "double", "boolean", "timestamp", "date")]
-    order = Window.partitionBy(*same).orderBy(F.col(text_col), *orderable)
-    unlike = met.where((extra > 0) & (extra < rows)).withColumn(name["place"], F.row_number().over(order))
-    times = (whole + F.when(place <= extra, 1).otherwise(0)).cast("int")
-    both = alike.unionByName(unlike).withColumn(name["copy"], F.explode(F.array_repeat(F.lit(True), times)))
-    return both.select(*[F.col(f"`{c}`") for c in docs.columns])
+    met = keyed.join(units, same).withColumn(name["place"], F.row_number().over(Window.partitionBy(*same).orderBy(F.col(text_col), *orderable)))
+    times = F.col(name["whole"]) + F.when(F.col(name["place"]) <= F.col(name["extra"]), 1).otherwise(0)
+    return met.withColumn(name["copy"], F.explode(F.array_repeat(F.lit(True), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
