@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import pieces
 
 WIDEST = 64  # bytes of the widest piece that is encoded side by side with others
-KNOWN = 100_000  # pieces that a worker remembers; it forgets all when there are more
+KNOWN = 200_000  # pieces that a worker remembers; beyond that it forgets those that it has not met since the last time
 NONE = np.int64(1) << 62
 MOST_RANK_BYTES = 64 << 20
 
@@ -35,7 +35,9 @@ class ByteBpe:
         for token, rank in self.ranks.items():
             self.bytes_of[rank] = token
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[str, tuple[int, ...]]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}  # the ids of pieces met before; of old ones, those met again are kept
+        self.old: dict[str, tuple[int, ...]] = {}
+        self.decimal = [str(i) for i in range(len(self.bytes_of))]
         self._single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self._of_bytes = np.array([self.ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], np.int64)
         pairs = {}
@@ -162,35 +164,46 @@ class ByteBpe:
 
     def learn(self, found: Iterable[str]) -> None:
         """Remember the ids of pieces not met before."""
-        if len(self.known) > KNOWN:
-            self.known.clear()
         by_width: dict[int, list[tuple[str, bytes]]] = {}
         for p in found:
             if p in self.known:
                 continue
+            if p in self.old:
+                self.known[p] = self.old[p]
+                continue
             b = p.encode("utf-8", "surrogatepass")
             if b in self.ranks:
-                self.known[p] = (str(self.ranks[b]), (self.ranks[b],))
+                self.known[p] = (self.ranks[b],)
             elif len(b) > WIDEST:
-                self._keep(p, self.encode_piece(b))
+                self.known[p] = tuple(self.encode_piece(b))
             else:
                 by_width.setdefault((len(b) - 1).bit_length(), []).append((p, b))
         for group in by_width.values():
             for (p, _), ids in zip(group, self.encode_short([b for _, b in group]), strict=True):
-                self._keep(p, ids)
-
-    def _keep(self, piece: str, ids: list[int]) -> None:
-        self.known[piece] = (" ".join([str(i) for i in ids]), tuple(ids))
+                self.known[p] = tuple(ids)
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """(ids as decimals joined by a space, ids) of each text."""
-        cut = [self.split(t) for t in texts]
-        self.learn(set(chain.from_iterable(cut)))
-        known = self.known.__getitem__
+        if len(self.known) > KNOWN:
+            self.known, self.old = {}, self.known
+        # a text's pieces are looked up at once and dropped, but for the unknown ones: millions of strings at a time leave no cache warm
+        held, gaps, new = [], [], set()
+        for text in texts:
+            found = self.split(text)
+            got, here, at = list(map(self.known.get, found)), [], -1
+            for _ in range(got.count(None)):
+                at = got.index(None, at + 1)
+                here.append((at, found[at]))
+            new.update([p for _, p in here])
+            held.append(got)
+            gaps.append(here)
+        self.learn(new)
         out = []
-        for found in cut:
-            words, ids = zip(*map(known, found), strict=True) if found else ((), ())
-            out.append((" ".join(words), list(chain.from_iterable(ids))))
+        for got, here in zip(held, gaps, strict=True):
+            for at, p in here:
+                got[at] = self.known[p]
+            ids = list(chain.from_iterable(got))
+            out.append((" ".join(map(self.decimal.__getitem__, ids)), ids))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -241,7 +254,7 @@ def encode_documents(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = codec(shared.value, pattern), hashlib.sha256
         for batch in batches:
-            for first, texts in pieces(batch, "text", 1 << 19):
+            for first, texts in pieces(batch, "text"):
                 got = bpe.encode_batch([t or "" for t in texts])
                 columns = [
                     batch.column("doc_id").slice(first, len(texts)),
