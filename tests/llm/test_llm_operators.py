@@ -150,22 +150,51 @@ def test_secrets(spark, docs, empty):
     assert secret_scan.scan_documents(empty).count() == 0
 
 
-def test_incremental_entropy_equals_the_plain_one():
-    rnd = random.Random(3)
+def plain_entropy_kind(run):
+    """The kind of the first window that counts, from each window's characters anew, or None."""
     from math import log2
 
-    for _ in range(200):
-        run = "".join(rnd.choice("abcdef0123456789XYZ") for _ in range(rnd.randrange(20, 60)))
-        want = set()
-        for a in range(len(run) - 19):
-            w = run[a : a + 20]
-            if 0 < sum(c.isdigit() for c in w) < 20:
-                h = -sum(c / 20 * log2(c / 20) for c in collections.Counter(w).values())
-                kind = "entropy_hex" if set(w) <= set("0123456789abcdefABCDEF") else "entropy_mixed"
-                if h >= secret_scan.THRESHOLD[kind] + 1e-9:
-                    want |= set(range(a, a + 20))
-        got = {p for _, a, b in secret_scan.entropy_spans(run) for p in range(a, b)}
-        assert want <= got
+    usual = {x + y for x, more in secret_scan._FOLLOW.items() for y in more}
+    if re.fullmatch(r"[0-9]+|(.)\1*|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", run):
+        return None
+    for a in range(len(run) - 19):
+        w = run[a : a + 20]
+        digit, lower, upper = any(map(str.isdigit, w)), any(map(str.islower, w)), any(map(str.isupper, w))
+        if not lower and not upper:
+            continue
+        if digit:
+            kind = "hex" if set(w) <= set("0123456789abcdefABCDEF") else "mixed" if lower and upper else "lower" if lower else "upper"
+        else:
+            kind = "case" if lower and upper else "letters"
+        h = -sum(c / 20 * log2(c / 20) for c in collections.Counter(w).values())
+        pairs = [x + y for x, y in zip(w, w[1:], strict=False)]
+        letters = [p for p in pairs if p.isalpha()]
+        known = sum(p.lower() in usual for p in letters)
+        turns = sum(p[0].isdigit() and p[1].isalpha() or p[0].isalpha() and p[1].isdigit() for p in pairs)
+        if h < secret_scan.THRESHOLD["entropy_" + kind] - 1e-9:
+            continue
+        if not digit and (len(letters) < 8 or known > 0.7 * len(letters)):
+            continue
+        if kind in ("mixed", "lower", "upper") and h < 3.8 and turns <= 3 and len(letters) >= 5 and known >= 0.75 * len(letters):
+            continue
+        return "entropy_" + kind
+    return None
+
+
+def test_incremental_entropy_equals_the_plain_one():
+    rnd = random.Random(3)
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = (low + digits, up + digits, low + up + digits + "+/=_-", "0123456789abcdef", low, up, low + up, "abc123", "ab", digits, "0123456789ABCDEFabcdef-")
+    kinds = collections.Counter()
+    for alphabet in alphabets:
+        for _ in range(150):
+            run = "".join(rnd.choice(alphabet) for _ in range(rnd.randrange(20, 60)))
+            if rnd.random() < 0.5:  # words with a random stretch in them
+                run = "".join(rnd.choice(WORDS) for _ in range(8)) + run[: rnd.randrange(1, 30)] + "".join(rnd.choice(WORDS) for _ in range(4))
+            want = plain_entropy_kind(run)
+            assert secret_scan.entropy_spans(run) == ([(want, 0, len(run))] if want else []), run
+            kinds[want] += 1
+    assert len(kinds) >= 6 and kinds[None] > 100
 
 
 def test_random_strings_of_every_alphabet_are_found_whole():
@@ -364,6 +393,23 @@ def test_every_label_is_learned(spark):
     assert len(taught) > 200 and set(langid.train(df, epochs=1).langs) == taught
 
 
+def test_network_equals_plain_loops():
+    rng = np.random.default_rng(1)
+    net = langid.ByteConvNet.fresh(["a", "b"], rng)
+    net.bias[:] = rng.normal(0, 0.2, len(net.bias))
+    windows = rng.integers(0, 256, (3, 24)).astype(np.uint8)
+    for window, got in zip(windows, net.probabilities(windows), strict=True):
+        x = [net.embed[c] for c in window] + [np.zeros(langid.EMBED)] * (max(langid.WIDTHS) - 1)
+        pooled = []
+        for f in range(net.filters.shape[1]):
+            width = langid.WIDTHS[f // langid.FILTERS]
+            sums = [sum(float(x[at + k] @ net.filters[k * langid.EMBED : (k + 1) * langid.EMBED, f]) for k in range(width)) for at in range(len(window))]
+            pooled.append(max(max(sums) + net.bias[f], 0.0))
+        z = np.array(pooled) @ net.dense + net.dense_bias
+        want = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert np.allclose(got, want, atol=1e-9)
+
+
 def test_network_gradients():
     rng = np.random.default_rng(0)
     net = langid.ByteConvNet.fresh(["a", "b", "c"], rng)
