@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import pieces
 
 WIDEST = 64  # bytes of the widest piece that is encoded side by side with others
-KNOWN = 200_000  # pieces that a worker remembers; beyond that it forgets those that it has not met since the last time
+KNOWN = 150_000  # pieces that a worker remembers; beyond that it forgets those that it has not met since the last time
 NONE = np.int64(1) << 62
 MOST_RANK_BYTES = 64 << 20
 
@@ -38,6 +38,7 @@ class ByteBpe:
         self.known: dict[str, tuple[int, ...]] = {}  # the ids of pieces met before; of old ones, those met again are kept
         self.old: dict[str, tuple[int, ...]] = {}
         self.decimal = [str(i) for i in range(len(self.bytes_of))]
+        self._own = list(range(len(self.bytes_of))).__getitem__  # one number object for each id, whoever remembers it
         self._single = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self._of_bytes = np.array([self.ranks.get(bytes([a, b]), NONE) for a in range(256) for b in range(256)], np.int64)
         pairs = {}
@@ -173,14 +174,14 @@ class ByteBpe:
                 continue
             b = p.encode("utf-8", "surrogatepass")
             if b in self.ranks:
-                self.known[p] = (self.ranks[b],)
+                self.known[p] = (self._own(self.ranks[b]),)
             elif len(b) > WIDEST:
-                self.known[p] = tuple(self.encode_piece(b))
+                self.known[p] = tuple(map(self._own, self.encode_piece(b)))
             else:
                 by_width.setdefault((len(b) - 1).bit_length(), []).append((p, b))
         for group in by_width.values():
             for (p, _), ids in zip(group, self.encode_short([b for _, b in group]), strict=True):
-                self.known[p] = tuple(ids)
+                self.known[p] = tuple(map(self._own, ids))
 
     def encode_batch(self, texts: list[str]) -> list[tuple[str, list[int]]]:
         """(ids as decimals joined by a space, ids) of each text."""
@@ -254,7 +255,7 @@ def encode_documents(
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, sha = codec(shared.value, pattern), hashlib.sha256
         for batch in batches:
-            for first, texts in pieces(batch, "text"):
+            for first, texts in pieces(batch, "text", 1 << 18):
                 got = bpe.encode_batch([t or "" for t in texts])
                 columns = [
                     batch.column("doc_id").slice(first, len(texts)),
