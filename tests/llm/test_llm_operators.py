@@ -720,3 +720,25 @@ def test_min_max_signatures_estimate_similarity():
 def test_held_out_fold(spark):
     df = spark.createDataFrame([(i,) for i in range(50)], "doc_id long")
     assert {r.doc_id for r in df.where(common.held_out(F.col("doc_id"))).collect()} == {i for i in range(50) if zlib.crc32(str(i).encode()) % 4 == 2}
+
+
+def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_names_that_are_free():
+    assert common.free_name(["a", "_Gone", "_gone_"], "_gone") == "_gone__" and common.free_name([], "_x") == "_x"
