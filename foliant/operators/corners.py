@@ -21,24 +21,29 @@ from .pixels import LOW_LIGHT, close_kernel
 
 LEAST_PART, TOLERANCE = 0.08, 0.015  # of the picture, that a contour encloses; of a contour's length
 MOST_GAP, MOST_SEGMENTS = 10, 64
+AT_ONCE = 256  # pictures whose edges are sent on together
 _RING = ((0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1), (-1, 0), (-1, 1))  # clockwise from the east, as (dy, dx)
 
 
 def _slide(a: np.ndarray, side: int, pick) -> np.ndarray:
-    """The least or greatest of a square around each pixel, row-wise and then column-wise; what is outside takes no part."""
-    fill = 0 if pick is np.max else 255
+    """The least or greatest of a square around each pixel, row-wise and then column-wise; what is outside takes no part.
+    Two windows side by side, or overlapping, make the next wider one."""
+    fill = 0 if pick is np.maximum else 255
     for axis in (0, 1):
         pad = [(side // 2, side // 2) if k == axis else (0, 0) for k in (0, 1)]
-        a = pick(np.lib.stride_tricks.sliding_window_view(np.pad(a, pad, constant_values=fill), side, axis), axis=-1)
+        a, n = np.pad(a, pad, constant_values=fill), 1
+        while n < side:
+            by = min(n, side - n)
+            a, n = pick(a[:-by], a[by:]) if axis == 0 else pick(a[:, :-by], a[:, by:]), n + by
     return a
 
 
 def dilate(a: np.ndarray, side: int = 3) -> np.ndarray:
-    return _slide(a, side, np.max)
+    return _slide(a, side, np.maximum)
 
 
 def close(a: np.ndarray, side: int) -> np.ndarray:
-    return _slide(_slide(a, side, np.max), side, np.min)
+    return _slide(_slide(a, side, np.maximum), side, np.minimum)
 
 
 def edge_map(rgb: np.ndarray) -> np.ndarray:
@@ -85,9 +90,8 @@ def parts(mask: np.ndarray) -> list[np.ndarray]:
             else:
                 j += 1
     roots = np.array([root(i) for i in range(len(up))], int)
-    out = []
-    for r in np.unique(roots):
-        runs = np.flatnonzero(roots == r)
+    out, order = [], np.argsort(roots, kind="stable")
+    for runs in np.split(order, np.flatnonzero(np.diff(roots[order])) + 1) if len(order) else []:
         sizes = last[runs] - first[runs] + 1
         x = np.repeat(first[runs] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
         out.append(np.stack([np.repeat(y[runs], sizes), x], 1))
@@ -99,21 +103,22 @@ def outline(part: np.ndarray) -> np.ndarray:
     y0, x0 = part.min(0) - 1
     inside = np.zeros(part.max(0) - (y0, x0) + 2, bool)
     inside[part[:, 0] - y0, part[:, 1] - x0] = True
-    inside = inside.tolist()
-    start = (1, inside[1].index(True))
-    at, came, out = start, 5, []  # came: where to look next, the direction back to the last pixel seen outside
+    wide, inside = inside.shape[1], inside.tobytes()
+    steps = [dy * wide + dx for dy, dx in _RING]
+    start = inside.index(1)
+    at, came, first, out = start, 5, -1, []  # came: where to look next, the direction back to the last pixel seen outside
     while True:
-        for k in range(8):
-            d = (came + k) % 8
-            y, x = at[0] + _RING[d][0], at[1] + _RING[d][1]
-            if inside[y][x]:
+        for k in range(came, came + 8):
+            if inside[at + steps[k % 8]]:
                 break
         else:
-            return np.array([[start[1] + x0, start[0] + y0]], float)
-        if at == start and out and d == out[0][2]:  # about to leave the start as the first time
-            return np.array([(x + x0, y + y0) for y, x, _ in out], float)
-        out.append((*at, d))
-        at, came = (y, x), (d + 6) % 8 if d % 2 == 0 else (d + 5) % 8
+            return np.array([[start % wide + x0, start // wide + y0]], float)
+        d = k % 8
+        if at == start and d == first:  # about to leave the start as the first time
+            return np.stack([np.array(out) % wide + x0, np.array(out) // wide + y0], 1).astype(float)
+        first = first if out else d
+        out.append(at)
+        at, came = at + steps[d], (d + 6) % 8 if d % 2 == 0 else (d + 5) % 8
 
 
 def enclosed(ring: np.ndarray) -> float:
@@ -156,12 +161,13 @@ def segments_of(edges: np.ndarray) -> np.ndarray:
     theta = np.radians(np.arange(180))
     reach = int(np.hypot(h, w)) + 1
     rho = np.rint(np.outer(x, np.cos(theta)) + np.outer(y, np.sin(theta))).astype(int) + reach
-    grid = np.stack([np.bincount(rho[:, k], minlength=2 * reach + 1) for k in range(180)], 1)
-    peaks = np.argwhere((grid >= votes) & (grid == _around(grid)))
+    grid = np.bincount((rho * 180 + np.arange(180)).ravel(), minlength=(2 * reach + 1) * 180).reshape(-1, 180)
+    peaks = np.argwhere(grid >= votes)
+    peaks = peaks[grid[peaks[:, 0], peaks[:, 1]] == _around(grid, peaks)]
     peaks = peaks[np.argsort(-grid[peaks[:, 0], peaks[:, 1]], kind="stable")]
-    free, out = np.ones(len(x), bool), []
+    free, out, rho = np.ones(len(x), bool), [], np.ascontiguousarray(rho.T)
     for r, k in peaks.tolist():
-        on = np.flatnonzero(free & (np.abs(rho[:, k] - r) <= 1))
+        on = np.flatnonzero(free & (np.abs(rho[k] - r) <= 1))
         if len(on) < least // 2:
             continue
         along = y[on] * np.cos(theta[k]) - x[on] * np.sin(theta[k])
@@ -177,30 +183,36 @@ def segments_of(edges: np.ndarray) -> np.ndarray:
     return np.array(out, float).reshape(-1, 4)
 
 
-def _around(grid: np.ndarray) -> np.ndarray:
-    """The greatest votes within two steps; angles go round."""
+def _around(grid: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The greatest votes within two steps of each place; angles go round."""
     wide = np.pad(np.concatenate([grid[::-1, -2:], grid, grid[::-1, :2]], 1), ((2, 2), (0, 0)))
-    return np.lib.stride_tricks.sliding_window_view(wide, (5, 5)).max((2, 3))
+    out = wide[at[:, 0], at[:, 1]]
+    for dy in range(5):
+        for dx in range(5):
+            out = np.maximum(out, wide[at[:, 0] + dy, at[:, 1] + dx])
+    return out
 
 
 def find(images: DataFrame) -> DataFrame:
     """img_id, src_w, src_h, quads, lines: what a picture's edges show, in its own pixels. A picture whose bytes aren't
     w * h * 3 shows nothing."""
 
+    def seen(i: int, w: int | None, h: int | None, body: bytes | None) -> dict:
+        quads, lines = [], []
+        if body is not None and w and h and len(body) == w * h * 3:
+            rgb = np.frombuffer(body, np.uint8).reshape(h, w, 3)
+            scale = min(1.0, ANALYSIS_SIDE / max(w, h))
+            sw, sh = max(1, int(w * scale)), max(1, int(h * scale))
+            edges = edge_map(rgb if scale == 1 else np.stack([resize(rgb[..., c], sw, sh) for c in range(3)], -1))
+            back = np.array([w / sw, h / sh])
+            quads, lines = [(q * back).ravel().tolist() for q in quads_of(edges)], (segments_of(edges) * np.tile(back, 2)).tolist()
+        return {"img_id": i, "src_w": w, "src_h": h, "quads": quads, "lines": lines}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for i, w, h, body in zip(*(batch.column(c).to_pylist() for c in ("img_id", "w", "h", "body")), strict=True):
-                quads, lines = [], []
-                if body is not None and w and h and len(body) == w * h * 3:
-                    rgb = np.frombuffer(body, np.uint8).reshape(h, w, 3)
-                    scale = min(1.0, ANALYSIS_SIDE / max(w, h))
-                    sw, sh = max(1, int(w * scale)), max(1, int(h * scale))
-                    edges = edge_map(rgb if scale == 1 else np.stack([resize(rgb[..., c], sw, sh) for c in range(3)], -1))
-                    back = np.array([w / sw, h / sh])
-                    quads, lines = [(q * back).ravel().tolist() for q in quads_of(edges)], (segments_of(edges) * np.tile(back, 2)).tolist()
-                rows.append({"img_id": i, "src_w": w, "src_h": h, "quads": quads, "lines": lines})
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            for k in range(0, batch.num_rows, AT_ONCE):
+                rows = zip(*(batch.column(c).slice(k, AT_ONCE) for c in ("img_id", "w", "h", "body")), strict=True)
+                yield pa.RecordBatch.from_pylist([seen(*(v.as_py() for v in r)) for r in rows], schema)
 
     lists = pa.list_(pa.list_(pa.float64()))
     schema = pa.schema([("img_id", pa.int64()), ("src_w", pa.int32()), ("src_h", pa.int32()), ("quads", lists), ("lines", lists)])
@@ -217,10 +229,12 @@ def candidates(found: DataFrame) -> DataFrame:
 def locate(images: DataFrame) -> DataFrame:
     """img_id, x0 .. y3: the corners of the sheet in each picture, from the top left on; pictures without one are left out.
 
-    The best contour quad, else the quad of the outermost lines. Pictures are read once: what is found in them is small.
+    The best contour quad, else the quad of the outermost lines. Pictures are read once, here: what is found in them is
+    small, and is kept before the parts of the plan ask for it side by side, as each would read pictures that no other has finished.
     """
     corners = [f"{c}{k}" for k in range(4) for c in "xy"]
     found = find(images).persist()
+    found.count()
     best = detect.best_quad(candidates(found)).select("img_id", *corners)
     rest = found.join(best.select("img_id"), "img_id", "left_anti").where("size(lines) >= 4")
     rows = rest.select("img_id", "src_w", "src_h", F.posexplode("lines").alias("ord", "l"))

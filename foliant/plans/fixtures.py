@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 SRC_W, SRC_H = 800, 1000
 SPREAD = 600.0  # wide enough that some quads are no longer convex
+PAINTED = 4_000_000  # bytes of pictures that are painted at once
 CORNERS = ((100, 100), (700, 100), (700, 900), (100, 900))
 
 
@@ -79,17 +80,21 @@ def quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """img_id, w, h, body: each quad painted light on dark, at a quarter of its size. Pictures of the quads, for detection."""
+    """img_id, w, h, body: each quad painted light on dark, at a quarter of its size. Pictures of the quads, for detection.
+
+    A picture has hundreds of times the bytes of its quad: of the thousands of quads that come in a batch, few are painted at once.
+    """
     w, h = SRC_W // 4, SRC_H // 4
+    at_once = PAINTED // (w * h * 3)
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         y, x = np.mgrid[0:h, 0:w]
-        for batch in batches:
+        for part in (batch.slice(k, at_once) for batch in batches for k in range(0, batch.num_rows, at_once)):
             ids, bodies = [], []
-            for r in batch.to_pylist():
+            for r in part.to_pylist():
                 p = [(r[f"x{k}"] / 4, r[f"y{k}"] / 4) for k in range(4)]
                 inside = np.ones((h, w), bool)
                 for (ax, ay), (bx, by) in zip(p, p[1:] + p[:1], strict=True):

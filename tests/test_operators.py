@@ -4,12 +4,13 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import scalar
 from foliant.operators import cleanup, color, corners, detect, export, geometry, pages, pixels, registry, resample, warp
-from foliant.plans import exporting
+from foliant.plans import exporting, fixtures
 from foliant.sources import images, jpeg, registry_json, settings
 from foliant.streaming import gestures
 
@@ -222,6 +223,47 @@ def test_detection_finds_sheets(spark):
     assert np.frombuffer(bytes(out.body), np.uint8).reshape(10, 10, 3)[1:-1, 1:-1].min() >= 210
 
 
+def test_pictures_are_painted_a_few_at_a_time(spark, sf_dir, monkeypatch):
+    painters, of = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, *a, **b: painters.append(f) or of(self, f, *a, **b))
+    fixtures.sheets(spark, sf_dir)
+    quads = fixtures.quads(spark, sf_dir).toArrow()
+    one = pa.Table.from_batches(quads.to_batches()).combine_chunks().to_batches()  # as many as a batch can hold come as one
+    assert len(one) == 1 and one[0].num_rows == quads.num_rows > 400
+    sizes, ids = [], []
+    for batch in painters[0](iter(one)):
+        sizes.append(batch.nbytes)
+        ids += batch.column("img_id").to_pylist()
+    assert ids == quads.column("quad_id").to_pylist() and max(sizes) < 5_000_000
+
+
+def test_edges_and_medians_by_plain_loops():
+    rng = np.random.default_rng(8)
+    blocks = np.kron(rng.integers(0, 2, (5, 6)) * 150 + 40, np.ones((6, 5), int)).astype(np.uint8)
+    for a in (blocks, rng.integers(0, 256, (17, 23)).astype(np.uint8), np.full((4, 5), 9, np.uint8), np.array([[7]], np.uint8)):
+        h, w = a.shape
+        v = np.pad(a.astype(float), 1, mode="edge")
+        assert (cleanup.median_3x3(a) == [[np.median(v[y : y + 3, x : x + 3]) for x in range(w)] for y in range(h)]).all()
+        for side in (3, 5):
+            r = side // 2
+            assert (corners.dilate(a, side) == [[a[max(0, y - r) : y + r + 1, max(0, x - r) : x + r + 1].max() for x in range(w)] for y in range(h)]).all()
+        gx = [[(v[y : y + 3, x + 2] - v[y : y + 3, x]) @ [1, 2, 1] for x in range(w)] for y in range(h)]
+        gy = [[(v[y + 2, x : x + 3] - v[y, x : x + 3]) @ [1, 2, 1] for x in range(w)] for y in range(h)]
+        size = {(y, x): math.hypot(gx[y][x], gy[y][x]) for y in range(h) for x in range(w)}
+        for low, high in ((0.0, 0.0), (60.0, 200.0), (100.0, 255.0)):
+            best = set()
+            for (y, x), s in size.items():
+                dy, dx = ((0, 1), (1, 1), (1, 0), (1, -1))[round(math.degrees(math.atan2(gy[y][x], gx[y][x])) / 45) % 4]
+                if s >= low and s >= size.get((y + dy, x + dx), 0) and s > size.get((y - dy, x - dx), 0):
+                    best.add((y, x))
+            todo, edges = [p for p in best if size[p] >= high], set()
+            while todo:
+                y, x = todo.pop()
+                edges.add((y, x))
+                todo += [p for p in ((y + i, x + j) for i in (-1, 0, 1) for j in (-1, 0, 1)) if p in best and p not in edges]
+            assert set(map(tuple, np.argwhere(cleanup.canny(a, low, high)).tolist())) == edges
+
+
 def test_lines_stand_in_for_broken_contours(spark):
     edges = np.zeros((300, 260), bool)
     edges[40, 30:90] = edges[40, 140:220] = edges[260, 35:225] = True
